@@ -11,15 +11,16 @@ Null and empty texts have no ids. Rows keep their id as it is, null or repeated;
 from __future__ import annotations
 
 import base64
+import gc
 import re
 import struct
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ from .common import partitions
 BLOCK_CHARS, BLOCK_DOCS, CACHE = 24_000_000, 100_000, 400_000
 #: Two white space characters in a row: only there a pre-token's extent depends on what follows its chunk.
 _RUN = re.compile(r"\s\s")
-_ODD = re.compile(r"[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 @lru_cache(4)
@@ -47,37 +48,36 @@ def byte_table(blob: bytes) -> dict[int, bytes]:
 
 
 class Words:
-    """Cuts texts into pre-tokens; what a chunk between spaces falls into is remembered, to a bound."""
+    """Cuts texts into pre-tokens, chunk by chunk where chunks between spaces can be cut apart safely."""
 
     def __init__(self, pattern: str):
-        # \s is the Unicode property White_Space in the rank files' own tokenizer
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, list[str]] = {}
 
     def chunks(self, text: str) -> list[str] | None:
-        """Chunks that fall into pre-tokens one by one, or None where they can't be cut apart safely."""
-        if not text or _RUN.search(text) or _ODD.search(text):
-            return None
-        first, *rest = text.split(" ")
-        rest = [" " + x for x in rest]
-        return [first, *rest] if first else rest
-
-    def of_chunk(self, chunk: str) -> list[str]:
-        got = self.known.get(chunk)
-        if got is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            got = self.known[chunk] = self.find(chunk)
-        return got
+        """What stands between spaces (all but the first with its space left out), or None where that isn't safe."""
+        return None if not text or _RUN.search(text) or any(c in text for c in _ODD) else text.split(" ")
+
+    def first(self, chunk: str) -> list[str]:
+        return self.find(chunk) if chunk else []
+
+    def later(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk and the space before it. Letters alone, or with one mark after them, are plain."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.find(" " + chunk)
 
     def words(self, text: str) -> list[str]:
         chunks = self.chunks(text)
-        return self.find(text) if chunks is None else [w for c in chunks for w in self.of_chunk(c)]
+        if chunks is None:
+            return self.find(text)
+        return [*self.first(chunks[0]), *(w for c in chunks[1:] for w in self.later(c))]
 
 
 def _pack(*arrays) -> bytes:
     parts = [np.ascontiguousarray(a).tobytes() if isinstance(a, np.ndarray) else bytes(a) for a in arrays]
-    return zstandard.compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts), 3)
+    return zstandard.compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts), 1)
 
 
 def _unpack(blob: bytes, n: int) -> list[memoryview]:
@@ -95,26 +95,36 @@ def _from_planes(view) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(view, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-class _Block:
-    """Distinct words of some documents, and each document's sequence of word numbers."""
+class _Numbers(dict):
+    """Chunk to the packed numbers of its words, filled as chunks come."""
 
     def __init__(self, cutter: Words):
-        self.cutter, self.number, self.by_chunk = cutter, {}, {}
-        self.ids, self.seqs, self.chars = [], [], 0
+        super().__init__()
+        self.cutter, self.number = cutter, {}
 
-    def numbers(self, words: list[str]) -> bytes:
+    def pack(self, words: list[str]) -> bytes:
         number = self.number
         return struct.pack(f"<{len(words)}I", *[number.setdefault(w, len(number)) for w in words])
 
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = self.pack(self.cutter.later(chunk))
+        return got
+
+
+class _Block:
+    """Distinct words of some documents, and each document's sequence of word numbers."""
+
+    def __init__(self, cutter: Words):
+        self.cutter, self.known = cutter, _Numbers(cutter)
+        self.ids, self.seqs, self.chars = [], [], 0
+
     def add(self, doc_id, text: str) -> None:
         chunks = self.cutter.chunks(text)
         if chunks is None:
-            seq = self.numbers(self.cutter.find(text)) if text else b""
+            seq = self.known.pack(self.cutter.find(text)) if text else b""
         else:
-            known = self.by_chunk
-            for c in [c for c in dict.fromkeys(chunks) if c not in known]:
-                known[c] = self.numbers(self.cutter.find(c))
-            seq = b"".join(map(known.__getitem__, chunks))
+            first = self.known.pack(self.cutter.first(chunks[0]))
+            seq = first + b"".join(map(self.known.__getitem__, chunks[1:]))
         self.ids.append(doc_id)
         self.seqs.append(seq)
         self.chars += len(text)
@@ -123,17 +133,14 @@ class _Block:
         """(kind, bucket, block, payload): the documents, and the word list of each bucket."""
         counts = np.array([len(s) // 4 for s in self.seqs], dtype="<u4")
         ids = pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64())], ["id"]).serialize()
-        schema_free = np.frombuffer(b"".join(self.seqs), "<u4")
-        yield 0, xxhash.xxh32_intdigest(block) % buckets, block, _pack(ids, counts, _planes(schema_free))
-        dealt: list[list] = [[] for _ in range(buckets)]
-        for w, k in self.number.items():
-            raw = w.encode("utf-8")
-            dealt[xxhash.xxh64_intdigest(raw) % buckets].append((raw, k))
-        for bucket, got in enumerate(dealt):
-            if got:
-                got.sort()
-                lens = np.array([len(w) for w, _ in got], dtype="<u4")
-                yield 1, bucket, block, _pack(_planes(lens), _planes(np.array([k for _, k in got])), b"".join(w for w, _ in got))
+        yield 0, zlib.crc32(block.encode()) % buckets, block, _pack(ids, counts, _planes(np.frombuffer(b"".join(self.seqs), "<u4")))
+        raw = [w.encode("utf-8") for w in self.known.number]  # in the order of their numbers
+        bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        lens = np.fromiter(map(len, raw), np.uint32, len(raw))
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(part):
+                yield 1, int(bucket[part[0]]), block, _pack(_planes(lens[part]), _planes(part), b"".join([raw[k] for k in part]))
 
 
 _SHAPE = "kind int, bucket int, block string, payload binary"
@@ -156,6 +163,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     vocabulary = spark.sparkContext.broadcast(ranks)  # one file's bytes, under 1 MB
 
     def explode(batches):
+        gc.disable()  # millions of words that live as long as the block: nothing for the collector to find
         cutter, serial = Words(pattern), 0
         part = TaskContext.get().partitionId()
         block = _Block(cutter)
@@ -169,6 +177,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             yield _table(list(block.rows(f"{part}-{serial}", buckets)))
 
     def encode_words(batches):
+        gc.disable()
         piece = codec(vocabulary.value, pattern)._core_bpe.encode_single_piece
         known: dict[bytes, list[int]] = {}
         for batch in batches:
