@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import partitions
 
-BLOCK_CHARS, BLOCK_DOCS, CACHE = 24_000_000, 100_000, 400_000
+BLOCK_CHARS, BLOCK_DOCS, CACHE = 28_000_000, 100_000, 300_000
 #: Two white space characters in a row: only there a pre-token's extent depends on what follows its chunk.
 _RUN = re.compile(r"\s\s")
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -77,7 +77,7 @@ class Words:
 
 def _pack(*arrays) -> bytes:
     parts = [np.ascontiguousarray(a).tobytes() if isinstance(a, np.ndarray) else bytes(a) for a in arrays]
-    return zstandard.compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts), 1)
+    return zstandard.compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts), 3)
 
 
 def _unpack(blob: bytes, n: int) -> list[memoryview]:
@@ -133,14 +133,20 @@ class _Block:
         """(kind, bucket, block, payload): the documents, and the word list of each bucket."""
         counts = np.array([len(s) // 4 for s in self.seqs], dtype="<u4")
         ids = pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64())], ["id"]).serialize()
-        yield 0, zlib.crc32(block.encode()) % buckets, block, _pack(ids, counts, _planes(np.frombuffer(b"".join(self.seqs), "<u4")))
-        raw = [w.encode("utf-8") for w in self.known.number]  # in the order of their numbers
+        seq = np.frombuffer(b"".join(self.seqs), "<u4")
+        self.known.clear()
+        words = list(self.known.number)  # in the order of their numbers; frequent ones get small numbers now
+        by_count = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
+        renamed = np.empty(len(words), "<u4")
+        renamed[by_count] = np.arange(len(words))
+        yield 0, zlib.crc32(block.encode()) % buckets, block, _pack(ids, counts, _planes(renamed[seq]))
+        raw = [words[k].encode("utf-8") for k in by_count.tolist()]
         bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
         order = np.argsort(bucket, kind="stable")
         lens = np.fromiter(map(len, raw), np.uint32, len(raw))
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             if len(part):
-                yield 1, int(bucket[part[0]]), block, _pack(_planes(lens[part]), _planes(part), b"".join([raw[k] for k in part]))
+                yield 1, int(bucket[part[0]]), block, _pack(_planes(lens[part]), _planes(np.diff(part, prepend=0)), b"".join([raw[k] for k in part]))
 
 
 _SHAPE = "kind int, bucket int, block string, payload binary"
@@ -168,8 +174,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         part = TaskContext.get().partitionId()
         block = _Block(cutter)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block.add(doc_id, text or "")
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                block.add(doc_id.as_py(), text.as_py() or "")
                 if block.chars >= BLOCK_CHARS or len(block.ids) >= BLOCK_DOCS:
                     yield from (_table([r]) for r in block.rows(f"{part}-{serial}", buckets))
                     block, serial = _Block(cutter), serial + 1
@@ -179,7 +185,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def encode_words(batches):
         gc.disable()
         piece = codec(vocabulary.value, pattern)._core_bpe.encode_single_piece
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
             for row in batch.to_pylist():
@@ -194,10 +200,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                         if got is None:
                             if len(known) > CACHE:
                                 known.clear()
-                            got = known[w] = piece(w)
-                        ids += got
-                        sizes.append(len(got))
-                    payload = _pack(numbers, _planes(np.array(sizes)), _planes(np.array(ids)))
+                            got = piece(w)
+                            got = known[w] = struct.pack(f"<{len(got)}I", *got)
+                        ids.append(got)
+                        sizes.append(len(got) // 4)
+                    payload = _pack(numbers, _planes(np.array(sizes)), _planes(np.frombuffer(b"".join(ids), "<u4")))
                 out.append((row["kind"], row["bucket"], row["block"], payload))
             if out:
                 yield _table(out)
@@ -207,24 +214,31 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
             got = _unpack(payload, 3)
             if kind:
-                for to, view in zip((numbers, sizes, ids), got, strict=True):
-                    to.append(_from_planes(view))
+                numbers.append(np.cumsum(_from_planes(got[0]), dtype=np.int64))
+                sizes.append(_from_planes(got[1]))
+                ids.append(_from_planes(got[2]))
             else:
                 docs_part = got
         doc_ids = pa.ipc.read_record_batch(pa.py_buffer(docs_part[0]), _ID_SCHEMA).column(0)
         counts = np.frombuffer(docs_part[1], "<u4").astype(np.int64)
-        seq = _from_planes(docs_part[2]).astype(np.int64)
+        seq = _from_planes(docs_part[2])
         empty = np.zeros(0, "<u4")
-        number, size, flat = (np.concatenate([empty, *x]) for x in (numbers, sizes, ids))
-        start = np.zeros(len(number), np.int64)
-        length = np.zeros(len(number), np.int64)
-        start[number] = np.cumsum(size, dtype=np.int64) - size
+        number, size, flat = (np.concatenate([empty, *x]).astype(kind) for x, kind in ((numbers, np.int64), (sizes, np.int32), (ids, np.int32)))
+        start, length = np.zeros(len(number), np.int32), np.zeros(len(number), np.int32)
+        start[number] = np.cumsum(size) - size
         length[number] = size
-        each = length[seq]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        values = flat[np.repeat(start[seq] - (ends - each), each) + np.arange(total)].astype(np.int32)
-        offsets = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int32)
+        values = np.empty(int(length[seq].sum(dtype=np.int64)), np.int32)
+        ends, at = np.empty(len(seq) + 1, np.int32), 0
+        ends[0] = 0
+        for k in range(0, len(seq), 1 << 18):
+            part = seq[k : k + (1 << 18)]
+            each = length[part]
+            end = np.cumsum(each)
+            n = int(end[-1])
+            values[at : at + n] = flat[np.repeat(start[part] - (end - each), each) + np.arange(n)]
+            ends[k + 1 : k + 1 + len(part)] = at + end
+            at += n
+        offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
         return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
 
     return (
@@ -245,7 +259,9 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         table = byte_table(vocabulary.value).__getitem__
         for batch in batches:
-            out = [b"".join(map(table, ids or ())) for ids in batch.column(ids_col).to_pylist()]
+            column = batch.column(ids_col)
+            values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
+            out = [b"".join(map(table, values[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("decoded", BinaryType())]))
