@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, partitions
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 
@@ -55,6 +55,7 @@ def links(nodes: DataFrame) -> DataFrame:
     it connected with one edge per member. Every edge is verified all the same.
     """
     masks = ",".join(["0L", *(f"{1 << i}L" if i < 63 else "shiftleft(1L, 63)" for i in range(BITS))])
+    nodes = nodes.select("fp").repartition(partitions(nodes.sparkSession), "fp")  # small rows, 65 times as many below
     variants = nodes.select("fp", F.expr(f"explode(transform(array({masks}), m -> m ^ fp))").alias("variant"))
     before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
     return (
