@@ -1,0 +1,6 @@
+"""Contract enforcement for Spark DataFrames: declare a contract, validate rows, repair what can be trusted."""
+
+from .contract import MISSING, Config, Constraint, Contract, Field, Member, contract_of_schema, find_field, parse_contract
+from .operators.guard import Guard
+
+__all__ = ["MISSING", "Config", "Constraint", "Contract", "Field", "Guard", "Member", "contract_of_schema", "find_field", "parse_contract"]
