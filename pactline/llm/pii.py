@@ -42,7 +42,7 @@ _WIDE_EMAIL = re.compile(
 )
 _WIDE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _WIDE_CARD = re.compile(r"(?<![0-9.])[0-9]{4}([._/ ]|\x20-\x20|\x20\x20)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
-_WIDE_PHONE = re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9\x20.-]{7,16}[0-9]|\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20.-][0-9]{3,5}|[0-9]{3}[.\x20-][0-9]{3}[.\x20-][0-9]{4})(?![0-9])")
+_WIDE_PHONE = re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[\x20.-][0-9\x20.-]{5,14}[0-9]|\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20.-][0-9]{3,5}|[0-9]{3}[.\x20-][0-9]{3}[.\x20-][0-9]{4})(?![0-9])")
 
 # Public registries' entries that the gazetteers know.
 TLDS = frozenset("com org net edu gov mil int info biz io dev app co uk de fr es it nl be ch at se no dk fi pl pt ie us ca au nz jp cn in br mx ru eu".split())
@@ -272,6 +272,10 @@ def accepted(found: DataFrame) -> list[int]:
     return sorted(c for c, p in classed.items() if _parts(c)[1] and p >= ACCEPT)
 
 
+def _of_kind(number: int):
+    return F.filter("base", lambda s: s["kind"] == number)
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row per row."""
     found = find(docs, id_col, text_col)
@@ -285,7 +289,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     every = F.array_sort(F.concat("base", F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)),
+        *(F.size(_of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)),
         F.sha2(told(F.col("base")), 256).alias("base_sha256"),
         told(every).alias("spans"),
     )
