@@ -85,8 +85,8 @@ class Guard:
 
     def validate(self, df: DataFrame, col: str) -> DataFrame:
         """df with is_valid, violations and contract_id."""
-        found = native.violations(self.contract, native.parsed(self._text(df, col)))
-        return df.withColumn("violations", found).withColumns({"is_valid": native.is_valid(F.col("violations")), "contract_id": F.lit(self.contract.contract_id)})
+        parsed = df.withColumn("__v", native.parsed(self._text(df, col)))  # a projection of its own: parsed once a row
+        return parsed.withColumn("violations", native.violations(self.contract, F.col("__v"))).drop("__v").withColumns({"is_valid": native.is_valid(F.col("violations")), "contract_id": F.lit(self.contract.contract_id)})
 
     def repair(self, df: DataFrame, col: str, encoding: str = "json") -> DataFrame:
         """df with status, repaired (JSON text), initial, remaining, attempts, ambiguous and contract_id."""
@@ -100,8 +100,8 @@ class Guard:
             return pa.array([None if t is None else told(repair(contract, parse_row(t, encoding), config, strategies, policy), policy) for t in texts.to_pylist()], kind)
 
         text = self._text(df, col)
-        found = native.violations(self.contract, native.parsed(text))
-        checked = df.withColumns({"__text": text, "__found": found})
+        checked = df.withColumn("__text", text).withColumn("__v", native.parsed(F.col("__text")))
+        checked = checked.withColumn("__found", native.violations(self.contract, F.col("__v"))).drop("__v")
         # a text that is its own root is recovered even where it is valid; SQL NULL is a payload that is no object
         fine = native.is_valid(F.col("__found")) & F.lit(encoding == "json")
         mended = checked.withColumn("__mended", mend(F.when(~fine, F.coalesce("__text", F.lit("null")))))
