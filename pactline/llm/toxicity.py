@@ -87,7 +87,7 @@ class Model:
         order = np.lexsort((rows, cols))
         self.rows, self.vals, cols = rows[order], vals[order], cols[order]
         # where each term's postings of each block begin
-        self.at = np.searchsorted(cols * (self.blocks + 1) + self.rows // BLOCK, (np.arange(len(terms))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)[None, :]).ravel()).reshape(len(terms), -1)
+        self.at = np.searchsorted(cols * (self.blocks + 1) + self.rows // BLOCK, (np.arange(len(terms))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)[None, :]).ravel()).reshape(len(terms), self.blocks + 1)
         self.top = np.zeros((len(terms), max(1, self.blocks)))
         if len(cols):
             np.maximum.at(self.top, (cols, self.rows // BLOCK), self.vals)
