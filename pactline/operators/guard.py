@@ -104,7 +104,8 @@ class Guard:
         checked = checked.withColumn("__found", native.violations(self.contract, F.col("__v"))).drop("__v")
         # a text that is its own root is recovered even where it is valid; SQL NULL is a payload that is no object
         fine = native.is_valid(F.col("__found")) & F.lit(encoding == "json")
-        mended = checked.withColumn("__mended", mend(F.when(~fine, F.coalesce("__text", F.lit("null")))))
+        # kept where it is: the optimiser must neither repeat it nor move filters on its result below it
+        mended = checked.withColumn("__mended", mend.asNondeterministic()(F.when(~fine, F.coalesce("__text", F.lit("null")))))
 
         def part(name: str, clean: F.Column) -> F.Column:
             return F.when(fine, clean).otherwise(F.col("__mended")[name])
