@@ -180,17 +180,16 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                     yield from (_table([r]) for r in block.rows(f"{part}-{serial}", buckets))
                     block, serial = _Block(cutter), serial + 1
         if block.ids:
-            yield _table(list(block.rows(f"{part}-{serial}", buckets)))
+            yield from (_table([r]) for r in block.rows(f"{part}-{serial}", buckets))
 
     def encode_words(batches):
         gc.disable()
         piece = codec(vocabulary.value, pattern)._core_bpe.encode_single_piece
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                payload = row["payload"]
-                if row["kind"]:
+            for k in range(batch.num_rows):  # row by row: payloads are large, a batch of them isn't copied as a whole
+                kind, bucket, block, payload = (column[k].as_py() for column in batch.columns)
+                if kind:
                     lens, numbers, raw = _unpack(payload, 3)
                     ends = np.cumsum(_from_planes(lens)).tolist()
                     raw, at, ids, sizes = bytes(raw), 0, [], []
@@ -205,9 +204,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                         ids.append(got)
                         sizes.append(len(got) // 4)
                     payload = _pack(numbers, _planes(np.array(sizes)), _planes(np.frombuffer(b"".join(ids), "<u4")))
-                out.append((row["kind"], row["bucket"], row["block"], payload))
-            if out:
-                yield _table(out)
+                yield _table([(kind, bucket, block, payload)])
 
     def assemble(table: pa.Table) -> pa.Table:
         numbers, sizes, ids, docs_part = [], [], [], None
