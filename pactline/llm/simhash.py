@@ -55,7 +55,8 @@ def links(nodes: DataFrame) -> DataFrame:
     it connected with one edge per member. Every edge is verified all the same.
     """
     masks = ",".join(["0L", *(f"{1 << i}L" if i < 63 else "shiftleft(1L, 63)" for i in range(BITS))])
-    nodes = nodes.select("fp").repartition(partitions(nodes.sparkSession), "fp")  # small rows, 65 times as many below
+    # small rows, 65 times as many below; by the column itself the planner would take the aggregation's few partitions instead
+    nodes = nodes.select("fp").repartition(partitions(nodes.sparkSession), F.xxhash64("fp"))
     variants = nodes.select("fp", F.expr(f"explode(transform(array({masks}), m -> m ^ fp))").alias("variant"))
     before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
     return (
