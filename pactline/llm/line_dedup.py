@@ -1,10 +1,14 @@
 """Removes passages of lines that stand in several documents, by content-defined line chunks.
 
-Each line has a hash; a rolling hash over the last lines' hashes ends a chunk where it falls into one of every SPREAD
-classes, so an insertion moves only the boundaries around it. A line that is long enough to be a passage of its own ends
-the chunk before it and is a chunk itself. Chunks with at least min_words words, of several lines or such a long line, are
-looked for in all documents: those whose 128-bit hash stands in more than one document meet again with their bytes, are
-compared with the first of their kind (smallest id, then place), and go where they are equal. The first stays.
+Every line has a hash. A rolling hash over the line hashes names the shortest run of lines from a line on that holds
+min_words words (one line, if it is that long). Where chunks start is chosen by these hashes: the smallest one of every
+stretch of GRAIN words, as in winnowing, so an insertion moves only the boundaries around it. Lines of GRAIN words or more
+all start a chunk; chunks overlap. So every passage of whole lines with min_words + 2 * GRAIN words that stands elsewhere
+too holds a chunk, one of min_words words where its lines have GRAIN words or more.
+
+Chunks are looked for in all documents: those whose hash stands in more than one place meet again with their bytes, are
+compared with the first of their kind (smallest id, then place), and go where they are equal. The first stays; a chunk that
+overlaps an equal one of its own document does not count.
 
 Hashes are counted before any text moves, and only documents' repeated passages are shuffled for the comparison. Null
 texts stay null, empty ones empty. Rows that repeat an id and its text are one document and are treated alike; rows with
@@ -13,49 +17,89 @@ a null id keep all they have. Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-MIN_WORDS, SPREAD, WINDOW = 50, 3, 2
-
-
-def chunks(text: str, min_words: int = MIN_WORDS, spread: int = SPREAD, window: int = WINDOW):
-    """(start, end, lines, words) of each chunk, in characters; the line ends between chunks belong to none."""
-    out, recent = [], []
-    start, at, lines, words = 0, 0, 0, 0
-    for line in text.split("\n"):
-        end, n = at + len(line), len(line.split())
-        if n >= min_words:
-            if lines:
-                out.append((start, at - 1, lines, words))
-            out.append((at, end, 1, n))
-            start, lines, words, recent = end + 1, 0, 0, []
-        else:
-            recent = [*recent[1 - window :], xxhash.xxh64_intdigest(line.encode("utf-8"))] if window > 1 else [xxhash.xxh64_intdigest(line.encode("utf-8"))]
-            rolling = 0
-            for h in recent:
-                rolling = (rolling * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-            lines, words = lines + 1, words + n
-            if (rolling >> 32) % spread == 0 and words >= min_words:
-                out.append((start, end, lines, words))
-                start, lines, words = end + 1, 0, 0
-        at = end + 1
-    if lines:
-        out.append((start, at - 1, lines, words))
+from .common import scratch
+
+MIN_WORDS, GRAIN = 50, 8
+#: Two primes under 2**61, the fields of the rolling hash, with a base each.
+_FIELDS = ((2**61 - 1, 0x9E3779B97F4A7C1), (2**61 - 31, 0x1B873593CC9E2D5))
+
+
+def _rolling(hashes: list[int], prime: int, base: int) -> tuple[list[int], list[int]]:
+    """Hashes of all beginnings, and the powers that take a beginning off a longer one."""
+    sums, powers = [0], [1]
+    for h in hashes:
+        sums.append((sums[-1] * base + h) % prime)
+        powers.append(powers[-1] * base % prime)
+    return sums, powers
+
+
+def chunks(text: str, min_words: int = MIN_WORDS, grain: int = GRAIN) -> list[tuple[int, int, int, int]]:
+    """(start, end, h1, h2) of each chunk, in characters, by start; no two equal ones overlap."""
+    lines = text.split("\n")
+    words = [len(line.split()) for line in lines]
+    if sum(words) < min_words:
+        return []
+    starts, at = [], 0
+    for line in lines:
+        starts.append(at)
+        at += len(line) + 1
+    hashes = [xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines]
+    (p1, b1), (p2, b2) = _FIELDS
+    (s1, w1), (s2, w2) = _rolling(hashes, p1, b1), _rolling(hashes, p2, b2)
+
+    runs: list[tuple[int, int, int, int]] = []  # first line, line after the last, h1, h2
+    end = held = 0
+    for k, n in enumerate(words):
+        while held < min_words and end < len(lines):
+            held, end = held + words[end], end + 1
+        if held < min_words:
+            break
+        if n:
+            size = end - k
+            runs.append((k, end, (s1[end] - s1[k] * w1[size]) % p1, (s2[end] - s2[k] * w2[size]) % p2))
+        held -= n
+
+    chosen = set()
+    for r, (k, *_) in enumerate(runs):
+        best, stretch, q = r, words[k], r + 1
+        while stretch < grain and q < len(runs):
+            best = q if runs[q][2] < runs[best][2] else best
+            stretch, q = stretch + words[runs[q][0]], q + 1
+        chosen.add(best)
+
+    out, upto = [], {}
+    for r in sorted(chosen):
+        k, after, h1, h2 = runs[r]
+        if upto.get((h1, h2), 0) <= k:
+            upto[h1, h2] = after
+            out.append((starts[k], starts[after - 1] + len(lines[after - 1]), h1, h2))
     return out
 
 
+def covering(spans: list[tuple]) -> list[tuple]:
+    """Of spans (start, end, ...) as few as cover all that they cover together."""
+    out: list[tuple] = []
+    best, upto = None, -1
+    for span in sorted(spans):
+        if best is not None and span[0] > upto:
+            out.append(best)
+            best, upto = None, best[1]
+        if span[1] > upto and (best is None or span[1] > best[1]):
+            best = span
+    return out if best is None else [*out, best]
+
+
 def _without(text: str, gone: list[tuple[int, int]]) -> str:
     """The text without the given chunks, each with the line end after it (the last one: before it)."""
     parts, at = [], 0
     for start, end in sorted(set(gone)):
         parts.append(text[at:start])
-        at = min(len(text), end + 1)
+        at = max(at, min(len(text), end + 1))
     parts.append(text[at:])
     out = "".join(parts)
     return out[:-1] if at >= len(text) and out.endswith("\n") and gone else out
@@ -68,6 +112,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"__id": F.col(id_col).cast("long"), "__tkey": F.xxhash64(F.col(text_col).cast("string"))})
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """rows from a table in the shared folder: its columns take less room than a checkpoint's rows."""
+    folder = scratch(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, tkey, spans array<struct<start, end>>): per document (id and hash of its text) the chunks that go."""
 
@@ -75,22 +126,19 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for doc_id, tkey, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for start, end, _, words in chunks(text or "", min_words):
-                    if words >= min_words:
-                        digest = xxhash.xxh3_128_digest(text[start:end].encode("utf-8"))
-                        h1, h2 = np.frombuffer(digest, "<i8").tolist()
-                        for col, x in zip(cols, (doc_id, tkey, start, end, h1, h2), strict=True):
-                            col.append(x)
+                for chunk in chunks(text or "", min_words):
+                    for col, x in zip(cols, (doc_id, tkey, *chunk), strict=True):
+                        col.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "tkey", "start", "end", "h1", "h2"])
 
     keyed = _keyed(docs, id_col, text_col).where(F.col("__id").isNotNull())
     texts = keyed.select(F.col("__id").alias("id"), F.col("__tkey").alias("tkey"), F.col(text_col).cast("string").alias("body"))
-    spans = cut(texts.mapInArrow(cut_up, _SPAN))
-    place = F.struct("id", "tkey", "start", "end")
-    first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    spans = _written(texts.mapInArrow(cut_up, _SPAN), "line-chunks")
+    # a row that repeats an id and its text counts here, but is the same place below
+    place = F.struct("id", "tkey", "start")
+    first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     wanted = spans.join(first, ["h1", "h2"])
-    # a row that repeats an id and a text is the same document; any other place than the first goes
     is_first = (F.col("id") == F.col("first.id")) & (F.col("tkey") == F.col("first.tkey")) & (F.col("start") == F.col("first.start"))
     by_doc = (
         wanted.select("id", "tkey", F.struct("start", "end", "h1", "h2", is_first.alias("is_first")).alias("span"))
@@ -102,16 +150,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for doc_id, tkey, body, spans_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for s in spans_of:
-                    row = (doc_id, tkey, s["start"], s["end"], s["h1"], s["h2"], s["is_first"], body[s["start"] : s["end"]])
-                    for col, x in zip(cols, row, strict=True):
+                told = [(s["start"], s["end"], s["h1"], s["h2"], s["is_first"]) for s in spans_of]
+                for start, end, *more in [*(t for t in told if t[4]), *covering([t for t in told if not t[4]])]:
+                    for col, x in zip(cols, (doc_id, tkey, start, end, *more, body[start:end]), strict=True):
                         col.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
             names = ["id", "tkey", "start", "end", "h1", "h2", "is_first", "part"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     parts = texts.join(by_doc, ["id", "tkey"]).mapInArrow(slices, f"{_SPAN}, is_first boolean, part string")
-    parts = cut(parts)
+    parts = _written(parts, "line-passages")
     bytes_of = parts.where("is_first").groupBy("h1", "h2").agg(F.first("part").alias("first_part"))
     same = parts.where("NOT is_first").join(bytes_of, ["h1", "h2"]).where("part = first_part")
     return same.groupBy("id", "tkey").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

@@ -251,12 +251,38 @@ def test_line_chunks_against_brute_force(spark):
     first: dict = {}
     for k, t in enumerate(texts):
         gone = []
-        for a, b, _, words in line_dedup.chunks(t or ""):
-            if words >= line_dedup.MIN_WORDS and first.setdefault(t[a:b], (k, a)) != (k, a):
+        for a, b, *_ in line_dedup.chunks(t or ""):
+            assert len((t or "")[a:b].split()) >= line_dedup.MIN_WORDS
+            if first.setdefault(t[a:b], (k, a)) != (k, a):
                 gone.append((a, b))
         assert got[k] == (t if not gone else line_dedup._without(t, gone))
+        cover = line_dedup.covering(gone)
+        assert len(cover) <= len(gone) and (not gone or line_dedup._without(t, cover) == got[k])
     assert passage in got[0] and not any(passage in (got[k] or "") for k in (1, 2, 10))
-    assert got[6] == texts[6] and got[7] == texts[7] and len(got[4]) < len(texts[4]) / 2
+    assert got[6] == texts[6] and got[7] == texts[7] and run in got[3] and got[4] == texts[4].removeprefix(run + "\n")
+
+
+def test_every_passage_of_lines_holds_a_chunk():
+    """Wherever it stands: exactly from 50 words on for lines of 8 words or more, with two stretches more for shorter ones."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(rng.choices([f"v{k}" for k in range(5000)], k=n))
+    for longest in (1, 3, 9, 20, 49):
+        for _ in range(40):
+            lines, least = [], 50 if longest >= 8 else 50 + 2 * line_dedup.GRAIN
+            while sum(len(x.split()) for x in lines) < least:
+                lines.append(line(rng.randint(8, longest) if longest >= 8 else rng.randint(1, longest)))
+                lines += [""] * rng.randint(0, 1)
+            passage = "\n".join(lines).rstrip("\n")
+            found = []
+            for _ in range(2):
+                text = "\n".join([*(line(rng.randint(1, 60)) for _ in range(rng.randint(0, 5))), passage, *(line(rng.randint(1, 60)) for _ in range(rng.randint(0, 5)))])
+                where = text.index(passage)
+                found.append({text[a:b] for a, b, *_ in line_dedup.chunks(text) if a >= where and b <= where + len(passage)})
+            assert found[0] & found[1]
+    same = "\n".join(["tick tock"] * 200)  # equal chunks of one document do not overlap
+    spans = [s[:2] for s in line_dedup.chunks(same)]
+    assert spans and all(b < a for (_, b), (a, _) in zip(spans, spans[1:], strict=False))
+    assert line_dedup.chunks("") == line_dedup.chunks("\n\n") == line_dedup.chunks(line(49)) == []
 
 
 def test_empty_tables_and_queries(spark):
