@@ -1,12 +1,14 @@
 """Toxicity by nearest labelled examples.
 
-A bounded, reproducible sample of labelled documents (MOST_EXAMPLES a class) trains the model: the words and word stems that
-go with toxic labels (by log-likelihood ratio) are its terms, and the examples' vectors over them, sublinear term
-frequency times inverse document frequency, are indexed in blocks with each term's largest weight per block. Every
-document's whole text is searched exactly: blocks are visited by falling upper bound until none can hold a nearer example.
-The neighbours vote with their cosines, weighted so that the sample's classes count as in the whole; leave-one-out votes
-of the examples calibrate votes to probabilities (isotonic regression). A document without any term gets the share of
-toxic ones among such examples. Evidence is the nearest examples and the terms met.
+A bounded, reproducible sample of labelled documents (MOST_EXAMPLES a class) are the examples. All their words and word
+stems are the terms: vectors are sublinear term frequency times inverse document frequency, the latter counted over all
+rows of the table. Every document's whole text is searched exactly: terms of many examples are a matrix, the others an
+inverted index, and what may be among the nearest by these sums is computed again in full precision. The neighbours vote
+with their cosines, weighted so that the sample's classes count as in the whole; leave-one-out votes of the examples
+calibrate votes to probabilities (isotonic regression). Words of no example are left out of a text's vector: they would
+make all its cosines smaller by one factor, so they change neither neighbours nor vote. Only a text that shares no word or
+stem with any example gets the share of toxic ones among the examples without any. Evidence is the nearest examples and the
+weightiest terms met.
 
 Null and empty texts are scored as texts without terms. Repeated rows score alike. Labels that are null, or of documents
 that do not exist, teach nothing; without labels of both kinds every score is the toxic share (0 if there is no label).
@@ -17,15 +19,19 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-MOST_EXAMPLES, MOST_TERMS, LEAST_DOCS, LEAST_RATIO, NEIGHBOURS, BLOCK, THRESHOLD, FOLDS, HELD_OUT = 4000, 4096, 5, 20.0, 25, 64, 0.3, 4, 2
+MOST_EXAMPLES, NEIGHBOURS, BLOCK, THRESHOLD, FOLDS, HELD_OUT = 4000, 25, 64, 0.3, 4, 2
+#: A term of more than this share of the examples is a row of the matrix; sums in its single precision are off by less than NEAR.
+COMMON, NEAR = 0.05, 1e-4
 STEMS, CACHE = (4, 5), 400_000
 _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
@@ -50,6 +56,12 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    size = ends - begins
+    return np.repeat(begins - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class _Terms(dict):
     """Token to the numbers of its terms."""
 
@@ -64,74 +76,116 @@ class _Terms(dict):
         return got
 
 
+def _numbers(tokens: _Terms, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's term numbers, ascending, and how often each stands in it."""
+    words = (text or "").lower().split()
+    return np.unique(np.fromiter(chain.from_iterable(map(tokens.__getitem__, words)), np.int64), return_counts=True)
+
+
 class Model:
-    """Terms, the examples' inverted index by block, and the calibration."""
+    """Terms, the examples' inverted index, and the calibration."""
 
-    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[int, int, dict[int, int]]], weights: tuple[float, float]):
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: tuple[float, float]):
         self.terms, self.idf = terms, np.asarray(idf, float)
         self.number = {t: k for k, t in enumerate(terms)}
         self.weights, self.prior = weights, 0.0
         self.steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
-        vectors = [(doc_id, toxic, *self.vector(counts)) for doc_id, toxic, counts in examples]
-        bare = [toxic for _, toxic, ids, _ in vectors if not len(ids)]
+        bare = [toxic for _, toxic, ids, _ in examples if not len(ids)]
         w = [sum(weights[t] for t in bare if t == y) for y in (0, 1)]
         self.prior = (w[1] + 1e-3) / (sum(w) + 1.0) if bare else 0.0
-        # examples of like leading term stand together: blocks then differ in their largest weights
-        vectors = sorted((v for v in vectors if len(v[2])), key=lambda v: (int(v[2][v[3].argmax()]), -float(v[3].max()), v[0]))
+        vectors = [(doc_id, toxic, *self.vector(ids, n)) for doc_id, toxic, ids, n in examples if len(ids)]
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.toxic = np.array([v[1] for v in vectors], np.int64)
-        self.blocks = -(-len(vectors) // BLOCK)
-        rows = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors]) if vectors else np.zeros(0, int)
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[2]) for v in vectors]) if vectors else np.zeros(0, np.int32)
         cols = np.concatenate([v[2] for v in vectors]) if vectors else np.zeros(0, int)
         vals = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((rows, cols))
-        self.rows, self.vals, cols = rows[order], vals[order], cols[order]
-        # where each term's postings of each block begin
-        self.at = np.searchsorted(cols * (self.blocks + 1) + self.rows // BLOCK, (np.arange(len(terms))[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)[None, :]).ravel()).reshape(len(terms), self.blocks + 1)
-        self.top = np.zeros((len(terms), max(1, self.blocks)))
-        if len(cols):
-            np.maximum.at(self.top, (cols, self.rows // BLOCK), self.vals)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights."""
-        ids = np.array(sorted(counts), int)
+        order = np.argsort(cols, kind="stable")
+        self.rows, self.vals = rows[order], vals[order].astype(np.float32)
+        # where each term's postings begin and end
+        ends = np.searchsorted(cols[order], np.arange(len(terms) + 1))
+        self.at = np.stack([ends[:-1], ends[1:]], axis=1)
+        self._made = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_made": None}
+
+    def vector(self, ids, n=None) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and unit weights, of a mapping of numbers to counts or of both as arrays."""
+        if n is None:
+            ids, n = sorted(ids), [ids[i] for i in sorted(ids)]
+        ids = np.asarray(ids, int)
         if not len(ids):
             return ids, np.zeros(0)
-        v = (1 + np.log([counts[i] for i in ids.tolist()])) * self.idf[ids]
+        v = (1 + np.log(n)) * self.idf[ids]
         return ids, v / np.linalg.norm(v)
 
-    def nearest(self, ids: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest examples that share a term; exact, ties to the smaller number."""
-        if not self.blocks or not len(ids):
-            return []
-        bounds = v @ self.top[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0] - 1e-12):
-                break
-            low = b * BLOCK
-            got = np.zeros(min(BLOCK, len(self.ids) - low))
-            for t, q in zip(ids.tolist(), v.tolist(), strict=True):
-                a, z = self.at[t, b], self.at[t, b + 1]
-                if a < z:
-                    got[self.rows[a:z] - low] += q * self.vals[a:z]
-            hits = np.flatnonzero(got > 0)
-            best = sorted([*best, *((-c, low + j) for c, j in zip(got[hits].tolist(), hits.tolist(), strict=True) if low + j != without)])[:k]
-        return [(-c, j) for c, j in best]
+    def _index(self):
+        """Made once per process: common terms' numbers in the matrix (-1: none), the matrix, and the examples' own terms."""
+        if self._made is None:
+            size = self.at[:, 1] - self.at[:, 0]
+            common = np.flatnonzero(size > COMMON * len(self.ids))
+            place = np.full(len(self.terms), -1)
+            place[common] = np.arange(len(common))
+            matrix = np.zeros((len(common), len(self.ids)), np.float32)
+            for k, t in enumerate(common.tolist()):
+                a, z = self.at[t]
+                matrix[k, self.rows[a:z]] = self.vals[a:z]
+            order = np.argsort(self.rows, kind="stable")
+            own = np.repeat(np.arange(len(self.terms), dtype=np.int32), size)[order], self.vals[order]
+            ends = np.searchsorted(self.rows[order], np.arange(len(self.ids) + 1))
+            self._made = place, matrix, *own, ends, np.zeros(len(self.terms))
+        return self._made
+
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (cosine, example) of the k nearest examples that share a term; exact, ties to the smaller number."""
+        n = len(self.ids)
+        if not n:
+            return [[] for _ in queries]
+        place, matrix, cols, vals, ends, spread = self._index()
+        asked = np.zeros((len(queries), len(matrix)), np.float32)
+        for j, (ids, v) in enumerate(queries):
+            here = place[ids]
+            asked[j, here[here >= 0]] = v[here >= 0]
+        sums = asked @ matrix
+        out: list[list[tuple[float, int]]] = []
+        for j, (ids, v) in enumerate(queries):
+            few = place[ids] < 0
+            pos, weight = _ranges(self.at[ids[few], 0], self.at[ids[few], 1]), np.repeat(v[few], self.at[ids[few], 1] - self.at[ids[few], 0])
+            got = sums[j] + np.bincount(self.rows[pos], weights=self.vals[pos] * weight, minlength=n)
+            if without is not None:
+                got[without[j]] = 0.0
+            least = np.partition(got, n - k)[n - k] - NEAR if n > k else 0.0
+            near = np.flatnonzero((got > 0) & (got >= least))
+            if not len(near):
+                out.append([])
+                continue
+            spread[ids] = v
+            pos = _ranges(ends[near], ends[near + 1])
+            size = ends[near + 1] - ends[near]
+            exact = np.add.reduceat(spread[cols[pos]] * vals[pos], np.cumsum(size) - size)
+            spread[ids] = 0.0
+            best = np.lexsort((near, -exact))[:k]
+            out.append(list(zip(exact[best].tolist(), near[best].tolist(), strict=True)))
+        return out
+
+    def nearest(self, ids: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        return self.nearest_each([(ids, v)], k)[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         w = [c * self.weights[self.toxic[j]] for c, j in near]
         return sum(x for x, (_, j) in zip(w, near, strict=True) if self.toxic[j]) / sum(w)
 
-    def calibrate(self, vectors: list[tuple[int, dict[int, int]]]) -> None:
+    def calibrate(self) -> None:
         """Isotonic regression of labels on leave-one-out votes."""
-        place = {i: k for k, i in enumerate(self.ids.tolist())}
         told = []
-        for doc_id, counts in vectors:
-            near = self.nearest(*self.vector(counts), without=place.get(doc_id))
-            if near:
-                toxic = int(self.toxic[place[doc_id]])
-                told.append((self.vote(near), toxic, self.weights[toxic]))
+        *_, cols, vals, ends, _ = self._index()
+        for low in range(0, len(self.ids), BLOCK):
+            some = list(range(low, min(low + BLOCK, len(self.ids))))
+            vectors = [(cols[ends[j] : ends[j + 1]], vals[ends[j] : ends[j + 1]]) for j in some]
+            for j, near in zip(some, self.nearest_each(vectors, without=some), strict=True):
+                if near:
+                    toxic = int(self.toxic[j])
+                    told.append((self.vote(near), toxic, self.weights[toxic]))
         merged: list[list[float]] = []  # vote, mean, weight
         for vote, toxic, w in sorted(told):
             merged.append([vote, float(toxic), w])
@@ -141,12 +195,11 @@ class Model:
         if merged:
             self.steps = np.array([m[0] for m in merged]), np.array([m[1] for m in merged])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(*self.vector(counts)) if counts else []
+    def score(self, near: list[tuple[float, int]]) -> float:
         if not near:
-            return self.prior, near
+            return self.prior
         votes, means = self.steps
-        return float(means[min(np.searchsorted(votes, self.vote(near) - 1e-12), len(means) - 1)]), near
+        return float(means[min(np.searchsorted(votes, self.vote(near) - 1e-12), len(means) - 1)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EXAMPLES) -> Model:
@@ -181,80 +234,70 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = Model([], [], [], (1.0, 1.0))
         model.prior = n.get(1, 0) / total if total else 0.0
         return model
-    # log-likelihood ratio of a term's documents by class, for terms that go with toxic ones
-    per = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")
-    )
-    size1, size0 = float(seen[1]), float(seen[0])
-    share = (F.col("a") + F.col("b")) / (size1 + size0)
-
-    def part(k, of):
-        return F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
-
-    ratio = 2 * (
-        part(F.col("a"), share * size1) + part(F.col("b"), share * size0) + part(size1 - F.col("a"), (1 - share) * size1) + part(size0 - F.col("b"), (1 - share) * size0)
-    )
-    picked = (
-        per.where((F.col("a") >= LEAST_DOCS) & (F.col("a") / size1 > 2 * F.col("b") / size0))
-        .withColumn("ratio", ratio)
-        .where(F.col("ratio") >= LEAST_RATIO)
-        .orderBy(F.desc("ratio"), "term")
-        .limit(MOST_TERMS)
-        .collect()
-    )
-    terms = [r["term"] for r in picked]
-    docs_with = [r["a"] * weights[1] + r["b"] * weights[0] for r in picked]
-    idf = [float(np.log(1 + total / max(1.0, d))) for d in docs_with]
-    number = {t: k for k, t in enumerate(terms)}
-    shared = spark.sparkContext.broadcast(number)
-
-    def only(batches):
+    told = examples.orderBy("id").toArrow().combine_chunks()  # 2 x most rows
+    lists, counts = told["terms"].combine_chunks(), told["n"].combine_chunks()
+    terms = sorted(pc.unique(lists.flatten()).to_pylist())
+    at = pc.index_in(lists.flatten(), pa.array(terms, pa.string())).to_numpy()
+    counts, ends = counts.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+    shared = spark.sparkContext.broadcast(terms)
+
+    def rows_with(batches):
+        tokens, n, rows = _Terms({t: k for k, t in enumerate(shared.value)}), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
-            ids, ns = [], []
-            for names, many in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                got = [(shared.value[t], k) for t, k in zip(names, many, strict=True) if t in shared.value]
-                ids.append([g[0] for g in got])
-                ns.append([g[1] for g in got])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], ["id", "toxic", "terms", "n"])
-
-    rows = examples.mapInArrow(only, "id long, toxic int, terms array<int>, n array<int>").collect()
-    vectors = [(r["id"], r["toxic"], dict(zip(r["terms"], r["n"], strict=True))) for r in sorted(rows)]
+            rows += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                found = set(chain.from_iterable(map(tokens.__getitem__, set((text or "").lower().split()))))
+                n[np.fromiter(found, np.int64, len(found))] += 1
+        kept = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1).astype("i4")), pa.array(np.append(n[kept], rows))], ["term", "rows"])
+
+    per = docs.select(F.col(text_col).cast("string")).mapInArrow(rows_with, "term int, rows long").groupBy("term").agg(F.sum("rows").alias("rows")).toArrow()
+    size = np.ones(len(terms) + 1)
+    size[per["term"].to_numpy()] = per["rows"].to_numpy()  # -1, the last: all rows
+    idf = np.log(1 + size[-1] / size[:-1])
+    vectors = []
+    for k, (doc_id, toxic) in enumerate(zip(told["id"].to_pylist(), told["toxic"].to_pylist(), strict=True)):
+        order = np.argsort(at[ends[k] : ends[k + 1]])
+        vectors.append((doc_id, toxic, at[ends[k] : ends[k + 1]][order], counts[ends[k] : ends[k + 1]][order]))
+    del told, lists, counts, at
     model = Model(terms, idf, vectors, weights)
-    model.calibrate([(i, c) for i, _, c in vectors if c])
+    del vectors
+    model.calibrate()
     return model
 
 
 def _scorer(model: Model):
-    """text -> (score, nearest), remembering what the same terms gave."""
-    tokens, known = _Terms(model.number), {}
-
-    def run(text: str | None):
-        counts: dict[int, int] = {}
-        for found in filter(None, map(tokens.__getitem__, (text or "").lower().split())):
-            for t in found:
-                counts[t] = counts.get(t, 0) + 1
-        key = tuple(sorted(counts.items()))
-        got = known.get(key)
-        if got is None:
-            if len(known) > 50_000:
-                known.clear()
-            got = known[key] = (*model.score(counts), [t for t, _ in key])
-        return got
+    """texts -> (score, nearest, the vector's term numbers and weights) of each."""
+    tokens = _Terms(model.number)
+
+    def run(texts: list[str | None]):
+        for low in range(0, len(texts), BLOCK):
+            vectors = [model.vector(*_numbers(tokens, t)) for t in texts[low : low + BLOCK]]
+            for near, vector in zip(model.nearest_each(vectors), vectors, strict=True):
+                yield model.score(near), near, *vector
 
     return run
 
 
+def _evidence(model: Model, near: list[tuple[float, int]], ids: np.ndarray, v: np.ndarray) -> str:
+    if not len(ids):
+        return ""
+    first = ids[np.lexsort((ids, -v))[:8]].tolist()
+    return "; ".join([" ".join(model.terms[t] for t in first), *(f"{model.ids[j]}:{model.toxic[j]}:{c:.3f}" for c, j in near[:3])])
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence): one row per row. evidence names terms and nearest examples."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_TERMS terms, 2 x MOST_EXAMPLES examples
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 x MOST_EXAMPLES examples and their terms
 
     def run(batches):
         model = shared.value
         of = _scorer(model)
         for batch in batches:
-            got = [of(t) for t in batch.column(1).to_pylist()]
-            scores = [min(1.0, max(0.0, g[0])) for g in got]
-            evidence = ["; ".join([" ".join(model.terms[t] for t in g[2][:8]), *(f"{model.ids[j]}:{model.toxic[j]}:{c:.3f}" for c, j in g[1][:3])]) if g[2] else "" for g in got]
+            scores, evidence = [], []
+            for p, near, ids, v in of(batch.column(1).to_pylist()):
+                scores.append(min(1.0, max(0.0, p)))
+                evidence.append(_evidence(model, near, ids, v))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -277,6 +320,6 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         run = _scorer(shared.value)
-        return pa.array([run(t)[0] for t in texts.to_pylist()], pa.float64())
+        return pa.array([got[0] for got in run(texts.to_pylist())], pa.float64())
 
     return docs.where(of(F.col(text_col).cast("string")) < threshold)

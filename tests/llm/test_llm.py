@@ -305,3 +305,25 @@ def test_pipeline_stages(spark):
     assert 0.5 * docs.count() < len(kept) <= docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_toxicity_counts_all_words_of_the_examples(spark):
+    """A copy of a toxic example of wholly rare wording is found, and words that lean to clean texts count."""
+    rng = random.Random(10)
+    texts, labels = [], []
+    for k in range(400):
+        bad = k % 5 == 0
+        own = [f"own{k}x{j}" for j in range(30)] if bad else rng.choices([f"fine{j}" for j in range(40)], k=30)
+        texts.append(" ".join(own))
+        labels.append((k, 1, int(bad)))
+    taught = [k for k in range(0, 400, 5) if not toxicity.held_out(k)]
+    docs = docs_of(spark, [*texts, *(texts[k] for k in taught[:10])])
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(model.terms) >= {w for k in taught for w in texts[k].split()} | {"fine0"}
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for j, k in enumerate(taught[:10]):
+        assert f"{k}:1:1.000" in got[400 + j]["evidence"]
+    assert all("; " in got[k]["evidence"] and got[k]["score"] < 0.3 for k in range(400) if k % 5)
+    n = docs.count()
+    df = sum("fine0" in r["text"].split() for r in docs.collect())
+    assert np.isclose(model.idf[model.number["fine0"]], np.log(1 + n / df))
