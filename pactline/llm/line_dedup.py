@@ -1,10 +1,9 @@
 """Removes passages of lines that stand in several documents, by content-defined line chunks.
 
-Every line has a hash. A rolling hash over the line hashes names the shortest run of lines from a line on that holds
-min_words words (one line, if it is that long). Where chunks start is chosen by these hashes: the smallest one of every
-stretch of GRAIN words, as in winnowing, so an insertion moves only the boundaries around it. Lines of GRAIN words or more
-all start a chunk; chunks overlap. So every passage of whole lines with min_words + 2 * GRAIN words that stands elsewhere
-too holds a chunk, one of min_words words where its lines have GRAIN words or more.
+Every line has a hash. A rolling hash over the line hashes names the shortest run of lines from each line on that holds
+min_words words (one line, if it is that long), and the shortest one that ends with each line. All of them are chunks, and
+chunks overlap. So every passage of whole lines with min_words words that stands elsewhere too is covered by chunks of its
+own from its first line with words to its last, however short its lines are.
 
 Chunks are looked for in all documents: those whose hash stands in more than one place meet again with their bytes, are
 compared with the first of their kind (smallest id, then place), and go where they are equal. The first stays; a chunk that
@@ -24,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-MIN_WORDS, GRAIN = 50, 8
+MIN_WORDS = 50
+#: Words of a line below which earlier forms thinned the chunks out; it has no effect on them any more.
+GRAIN = 8
 #: Two primes under 2**61, the fields of the rolling hash, with a base each.
 _FIELDS = ((2**61 - 1, 0x9E3779B97F4A7C1), (2**61 - 31, 0x1B873593CC9E2D5))
 
@@ -38,7 +39,7 @@ def _rolling(hashes: list[int], prime: int, base: int) -> tuple[list[int], list[
     return sums, powers
 
 
-def chunks(text: str, min_words: int = MIN_WORDS, grain: int = GRAIN) -> list[tuple[int, int, int, int]]:
+def chunks(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
     """(start, end, h1, h2) of each chunk, in characters, by start; no two equal ones overlap."""
     lines = text.split("\n")
     words = [len(line.split()) for line in lines]
@@ -52,7 +53,7 @@ def chunks(text: str, min_words: int = MIN_WORDS, grain: int = GRAIN) -> list[tu
     (p1, b1), (p2, b2) = _FIELDS
     (s1, w1), (s2, w2) = _rolling(hashes, p1, b1), _rolling(hashes, p2, b2)
 
-    runs: list[tuple[int, int, int, int]] = []  # first line, line after the last, h1, h2
+    runs = set()  # first line, line after the last
     end = held = 0
     for k, n in enumerate(words):
         while held < min_words and end < len(lines):
@@ -60,21 +61,22 @@ def chunks(text: str, min_words: int = MIN_WORDS, grain: int = GRAIN) -> list[tu
         if held < min_words:
             break
         if n:
-            size = end - k
-            runs.append((k, end, (s1[end] - s1[k] * w1[size]) % p1, (s2[end] - s2[k] * w2[size]) % p2))
+            runs.add((k, end))
         held -= n
-
-    chosen = set()
-    for r, (k, *_) in enumerate(runs):
-        best, stretch, q = r, words[k], r + 1
-        while stretch < grain and q < len(runs):
-            best = q if runs[q][2] < runs[best][2] else best
-            stretch, q = stretch + words[runs[q][0]], q + 1
-        chosen.add(best)
+    begin = held = 0
+    for k, n in enumerate(words):
+        held += n
+        while held - words[begin] >= min_words:
+            held, begin = held - words[begin], begin + 1
+        while held >= min_words and not words[begin]:
+            begin += 1
+        if n and held >= min_words:
+            runs.add((begin, k + 1))
 
     out, upto = [], {}
-    for r in sorted(chosen):
-        k, after, h1, h2 = runs[r]
+    for k, after in sorted(runs):
+        size = after - k
+        h1, h2 = (s1[after] - s1[k] * w1[size]) % p1, (s2[after] - s2[k] * w2[size]) % p2
         if upto.get((h1, h2), 0) <= k:
             upto[h1, h2] = after
             out.append((starts[k], starts[after - 1] + len(lines[after - 1]), h1, h2))

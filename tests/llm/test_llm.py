@@ -327,3 +327,20 @@ def test_toxicity_counts_all_words_of_the_examples(spark):
     n = docs.count()
     df = sum("fine0" in r["text"].split() for r in docs.collect())
     assert np.isclose(model.idf[model.number["fine0"]], np.log(1 + n / df))
+
+
+def test_short_lines_and_tails_of_passages_are_found():
+    """Passages of 51 to 56 words in lines of 1 to 7 words, and the last lines of longer ones, are covered in both texts."""
+    rng = random.Random(11)
+    line = lambda n: " ".join(rng.choices([f"v{k}" for k in range(5000)], k=n))
+    for per_line in (1, 4, 6, 7, 12):
+        for _ in range(40):
+            passage = "\n".join(line(per_line) for _ in range(-(-51 // per_line) + rng.randint(0, 3)))
+            found = []
+            for _ in range(2):
+                text = "\n".join([*(line(rng.randint(1, 9)) for _ in range(rng.randint(0, 9))), passage, *(line(rng.randint(1, 9)) for _ in range(rng.randint(0, 9)))])
+                where = text.index(passage)
+                found.append({(a - where, b - where) for a, b, *_ in line_dedup.chunks(text) if a >= where and b <= where + len(passage)})
+            both = sorted(found[0] & found[1])
+            assert both[0][0] == 0 and max(b for _, b in both) == len(passage)
+            assert all(b[0] <= max(x[1] for x in both[: k + 1]) + 1 for k, b in enumerate(both[1:]))
