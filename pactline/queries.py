@@ -356,14 +356,13 @@ _PREFIX = "CASE WHEN substr(a,1,1)<>substr(b,1,1) THEN 0 WHEN substr(a,2,1)<>sub
     "(SELECT n_name, c_mktsegment, lower(n_name) AS a, lower(c_mktsegment) AS b FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)))"
 )
 def name_similarity_grid(spark, sf_dir):
-    """Similarities of two sets of names: the sets are schema-sized, so the smaller one's size is what its domain bounds."""
+    """Similarities of all pairs of two sets of names."""
 
     @F.arrow_udf("double")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([round(jaro_winkler(x, y), 9) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
-    names = [r[0] for r in _read(spark, sf_dir, "customer").select("c_mktsegment").distinct().limit(1000).collect()]
-    rows = _read(spark, sf_dir, "nation").select("n_name", F.explode(F.array(*map(F.lit, names))).alias("c_mktsegment"))
+    rows = _read(spark, sf_dir, "nation").select("n_name").crossJoin(_read(spark, sf_dir, "customer").select("c_mktsegment").distinct())
     return rows.withColumn("similarity", similar("n_name", "c_mktsegment"))
 
 

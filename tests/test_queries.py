@@ -31,3 +31,11 @@ def test_query(spark, tables, name):
     rows = sorted((tuple(map(plain, r)) for r in got.select(*cols).collect()), key=str)
     want = tables.execute(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert rows == sorted((tuple(map(plain, r)) for r in want), key=str)
+
+
+def test_name_similarity_grid_keeps_all_names(spark, tmp_path):
+    from pactline.queries import queries
+
+    spark.createDataFrame([("FRANCE",), ("PERU",)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1200).selectExpr("concat('name', id) AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    assert queries()["name_similarity_grid"](spark, str(tmp_path)).count() == 2400
