@@ -47,8 +47,8 @@ class WordCodec(dict):
     def __init__(self, blob: bytes):
         super().__init__()
         self.whole = Tokenizer.from_str(blob.decode("utf-8"))
-        self.whole.encode_special_tokens = True
         told = json.loads(blob)
+        self.added = [t["content"] for t in told.get("added_tokens") or []]
         model, self.core = told["model"], None
         pre = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
@@ -83,7 +83,8 @@ class WordCodec(dict):
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, as bytes."""
-        if any(c in text for c in _ODD):  # separators that str.split takes for white space and the vocabulary does not
+        # separators that str.split takes for white space and the vocabulary does not, and strings of added tokens
+        if any(c in text for c in _ODD) or any(t in text for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 

@@ -344,3 +344,14 @@ def test_short_lines_and_tails_of_passages_are_found():
             both = sorted(found[0] & found[1])
             assert both[0][0] == 0 and max(b for _, b in both) == len(passage)
             assert all(b[0] <= max(x[1] for x in both[: k + 1]) + 1 for k, b in enumerate(both[1:]))
+
+
+def test_packing_takes_added_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    blob = vocabulary("word_bpe_49k.json")
+    fresh = Tokenizer.from_str(blob.decode("utf-8"))
+    for text in ("<|endoftext|>", "a <|startoftext|>b <|endoftext|> c.", "x<|endoftext|>y", "<|ENDOFTEXT|> end", "plain text."):
+        got = np.frombuffer(packing.codec(blob).ids(text), "<u4").tolist()
+        assert got == fresh.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.codec(blob).ids("<|endoftext|>"), "<u4").tolist() == [49407]
