@@ -1,9 +1,10 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Encoding: documents are cut into blocks; each block lists its distinct pre-tokens and, for every document, the sequence
-of their positions' word numbers. Only word lists and number sequences are shuffled, never texts. Word lists are dealt by
-word hash, so each distinct word is encoded in one place; the ids come back by block and each document is reassembled by
-position. Decoding joins the token-byte table, whose size the vocabulary file bounds.
+Encoding: documents are cut into blocks; a block is one row of a table in the shared folder, with the number of the word
+at every position of every document, and its distinct words. Only the distinct words are shuffled: dealt by word hash, so
+that all blocks' copies of a word meet in one place and it is encoded once there; the ids go back to their block by number
+and each document is put together by position. The table is bucketed by block, so the positions stay where they are
+written. Decoding joins the token-byte table, which the vocabulary file bounds, by taking its rows at the ids.
 
 Null and empty texts have no ids. Rows keep their id as it is, null or repeated; other columns are ignored.
 """
@@ -19,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import partitions
+from .common import partitions, scratch
 
-BLOCK_CHARS, BLOCK_DOCS, CACHE = 28_000_000, 100_000, 300_000
+BLOCK_CHARS, BLOCK_DOCS, CACHE, MOST_BUCKETS = 10_000_000, 50_000, 300_000, 4096
 #: Two white space characters in a row: only there a pre-token's extent depends on what follows its chunk.
 _RUN = re.compile(r"\s\s")
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -43,8 +45,10 @@ def codec(blob: bytes, pattern: str) -> tiktoken.Encoding:
 
 
 @lru_cache(4)
-def byte_table(blob: bytes) -> dict[int, bytes]:
-    return {int(b): base64.b64decode(a) for a, b in (line.split() for line in blob.splitlines() if line)}
+def byte_table(blob: bytes) -> pa.Array:
+    """The bytes of every token at its id's place; ids that the file leaves out are null."""
+    told = {int(b): base64.b64decode(a) for a, b in (line.split() for line in blob.splitlines() if line)}
+    return pa.array([told.get(k) for k in range(max(told, default=-1) + 1)], pa.binary())
 
 
 class Words:
@@ -129,43 +133,57 @@ class _Block:
         self.seqs.append(seq)
         self.chars += len(text)
 
-    def rows(self, block: str, buckets: int):
-        """(kind, bucket, block, payload): the documents, and the word list of each bucket."""
+    def row(self, block: str, buckets: int) -> pa.RecordBatch:
+        """The block's row: its documents' sequences, and its distinct words by bucket."""
         counts = np.array([len(s) // 4 for s in self.seqs], dtype="<u4")
         ids = pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64())], ["id"]).serialize()
         seq = np.frombuffer(b"".join(self.seqs), "<u4")
+        self.seqs.clear()
         self.known.clear()
         words = list(self.known.number)  # in the order of their numbers; frequent ones get small numbers now
         by_count = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
         renamed = np.empty(len(words), "<u4")
         renamed[by_count] = np.arange(len(words))
-        yield 0, zlib.crc32(block.encode()) % buckets, block, _pack(ids, counts, _planes(renamed[seq]))
+        docs = _pack(ids, counts, _planes(renamed[seq]))
         raw = [words[k].encode("utf-8") for k in by_count.tolist()]
         bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % buckets
         order = np.argsort(bucket, kind="stable")
         lens = np.fromiter(map(len, raw), np.uint32, len(raw))
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            if len(part):
-                yield 1, int(bucket[part[0]]), block, _pack(_planes(lens[part]), _planes(np.diff(part, prepend=0)), b"".join([raw[k] for k in part]))
+        told = [
+            {"bucket": int(bucket[part[0]]), "payload": _pack(_planes(lens[part]), _planes(np.diff(part, prepend=0)), b"".join([raw[k] for k in part]))}
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+            if len(part)
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([docs], pa.binary()), pa.array([told], _WORDS)], ["block", "docs", "words"])
 
 
-_SHAPE = "kind int, bucket int, block string, payload binary"
+_BLOCK_SHAPE = "block string, docs binary, words array<struct<bucket:int,payload:binary>>"
+_WORDS = pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())]))
+_SHAPE = "block string, payload binary"
 _ID_SCHEMA = pa.schema([("id", pa.int64())])
+_TOKENS = "doc_id long, ids array<int>"
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kind, bucket, block, payload = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(block, pa.string()), pa.array(payload, pa.binary())],
-        ["kind", "bucket", "block", "payload"],
-    )
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """rows from a table in the shared folder, bucketed by key: what joins them by it comes to them.
+
+    The catalogue knows the table only while it is written and opened.
+    """
+    spark = rows.sparkSession
+    folder = scratch(spark, "bpe-blocks")
+    name = f"pactline_{folder.rpartition('-')[2]}"
+    rows.write.bucketBy(buckets, key).option("path", folder).option("compression", "none").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # opened: the plan holds the files and their buckets from here on
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, ids array<int>): the tokens of every row's whole text. ranks: the bytes of a rank file."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 2 * n
+    buckets = min(2 * n, MOST_BUCKETS)
     vocabulary = spark.sparkContext.broadcast(ranks)  # one file's bytes, under 1 MB
 
     def explode(batches):
@@ -177,48 +195,44 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 block.add(doc_id.as_py(), text.as_py() or "")
                 if block.chars >= BLOCK_CHARS or len(block.ids) >= BLOCK_DOCS:
-                    yield from (_table([r]) for r in block.rows(f"{part}-{serial}", buckets))
+                    yield block.row(f"{part}-{serial}", buckets)
                     block, serial = _Block(cutter), serial + 1
         if block.ids:
-            yield from (_table([r]) for r in block.rows(f"{part}-{serial}", buckets))
+            yield block.row(f"{part}-{serial}", buckets)
 
     def encode_words(batches):
         gc.disable()
         piece = codec(vocabulary.value, pattern)._core_bpe.encode_single_piece
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            for k in range(batch.num_rows):  # row by row: payloads are large, a batch of them isn't copied as a whole
-                kind, bucket, block, payload = (column[k].as_py() for column in batch.columns)
-                if kind:
-                    lens, numbers, raw = _unpack(payload, 3)
-                    ends = np.cumsum(_from_planes(lens)).tolist()
-                    raw, at, ids, sizes = bytes(raw), 0, [], []
-                    for end in ends:
-                        w, at = raw[at:end], end
-                        got = known.get(w)
-                        if got is None:
-                            if len(known) > CACHE:
-                                known.clear()
-                            got = piece(w)
-                            got = known[w] = struct.pack(f"<{len(got)}I", *got)
-                        ids.append(got)
-                        sizes.append(len(got) // 4)
-                    payload = _pack(numbers, _planes(np.array(sizes)), _planes(np.frombuffer(b"".join(ids), "<u4")))
-                yield _table([(kind, bucket, block, payload)])
-
-    def assemble(table: pa.Table) -> pa.Table:
-        numbers, sizes, ids, docs_part = [], [], [], None
-        for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            out = []
+            for payload in batch.column(1):
+                lens, numbers, raw = _unpack(payload.as_py(), 3)
+                ends = np.cumsum(_from_planes(lens)).tolist()
+                raw, at, ids, sizes = bytes(raw), 0, [], []
+                for end in ends:
+                    w, at = raw[at:end], end
+                    got = known.get(w)
+                    if got is None:
+                        if len(known) > CACHE:
+                            known.clear()
+                        got = piece(w)
+                        got = known[w] = struct.pack(f"<{len(got)}I", *got)
+                    ids.append(got)
+                    sizes.append(len(got) // 4)
+                out.append(_pack(numbers, _planes(np.array(sizes)), _planes(np.frombuffer(b"".join(ids), "<u4"))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["block", "payload"])
+
+    def assemble(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:
+        numbers, sizes, ids = [], [], []
+        for payload in words_of.column("payload").to_pylist():
             got = _unpack(payload, 3)
-            if kind:
-                numbers.append(np.cumsum(_from_planes(got[0]), dtype=np.int64))
-                sizes.append(_from_planes(got[1]))
-                ids.append(_from_planes(got[2]))
-            else:
-                docs_part = got
-        doc_ids = pa.ipc.read_record_batch(pa.py_buffer(docs_part[0]), _ID_SCHEMA).column(0)
-        counts = np.frombuffer(docs_part[1], "<u4").astype(np.int64)
-        seq = _from_planes(docs_part[2])
+            numbers.append(np.cumsum(_from_planes(got[0]), dtype=np.int64))
+            sizes.append(_from_planes(got[1]))
+            ids.append(_from_planes(got[2]))
+        doc_ids, counts, seq = _unpack(docs_of.column("docs")[0].as_py(), 3)
+        doc_ids = pa.ipc.read_record_batch(pa.py_buffer(doc_ids), _ID_SCHEMA).column(0)
+        counts, seq = np.frombuffer(counts, "<u4").astype(np.int64), _from_planes(seq)
         empty = np.zeros(0, "<u4")
         number, size, flat = (np.concatenate([empty, *x]).astype(kind) for x, kind in ((numbers, np.int64), (sizes, np.int32), (ids, np.int32)))
         start, length = np.zeros(len(number), np.int32), np.zeros(len(number), np.int32)
@@ -238,14 +252,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
         return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
 
-    return (
-        docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-        .mapInArrow(explode, _SHAPE)
-        .repartition(n, "bucket")
-        .mapInArrow(encode_words, _SHAPE)
-        .groupBy("block")
-        .applyInArrow(assemble, "doc_id long, ids array<int>")
-    )
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    blocks = _bucketed(rows.mapInArrow(explode, _BLOCK_SHAPE), "block", n)
+    words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.payload")
+    encoded = words.repartition(buckets, "bucket").select("block", "payload").mapInArrow(encode_words, _SHAPE)
+    return blocks.select("block", "docs").groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, _TOKENS)
 
 
 def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
@@ -254,11 +265,14 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
     tokens = tokens.drop("decoded")
 
     def run(batches):
-        table = byte_table(vocabulary.value).__getitem__
+        table = byte_table(vocabulary.value)
         for batch in batches:
             column = batch.column(ids_col)
-            values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
-            out = [b"".join(map(table, values[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            joined = table.take(column.flatten())  # a row per id: their bytes lie one after another
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            raw = b"".join(joined.to_pylist()) if joined.null_count or joined.offset else memoryview(joined.buffers()[2] or b"")
+            out = [bytes(raw[a:b]) for a, b in zip(size[ends[:-1]].tolist(), size[ends[1:]].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("decoded", BinaryType())]))
