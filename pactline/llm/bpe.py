@@ -20,7 +20,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -31,7 +30,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import partitions, scratch
 
-BLOCK_CHARS, BLOCK_DOCS, CACHE, MOST_BUCKETS = 10_000_000, 50_000, 300_000, 4096
+BLOCK_CHARS, BLOCK_DOCS, CACHE, MOST_BUCKETS, DECODE_ROWS = 10_000_000, 50_000, 300_000, 4096, 256
 #: Two white space characters in a row: only there a pre-token's extent depends on what follows its chunk.
 _RUN = re.compile(r"\s\s")
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -267,12 +266,16 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         table = byte_table(vocabulary.value)
         for batch in batches:
-            column = batch.column(ids_col)
-            joined = table.take(column.flatten())  # a row per id: their bytes lie one after another
-            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            size = np.concatenate([[0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False), dtype=np.int64)])
-            raw = b"".join(joined.to_pylist()) if joined.null_count or joined.offset else memoryview(joined.buffers()[2] or b"")
-            out = [bytes(raw[a:b]) for a, b in zip(size[ends[:-1]].tolist(), size[ends[1:]].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            for k in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(k, DECODE_ROWS)
+                column = part.column(ids_col)
+                joined = table.take(column.flatten())  # a row per id: their bytes lie one after another
+                if joined.null_count:
+                    raise ValueError("an id without a token")
+                ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                size = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1, 4 * joined.offset) if len(joined) else np.zeros(1, np.int32)
+                raw = memoryview(joined.buffers()[2] or b"")
+                out = [bytes(raw[a:b]) for a, b in zip(size[ends[:-1]].tolist(), size[ends[1:]].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("decoded", BinaryType())]))
