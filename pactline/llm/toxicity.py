@@ -1,25 +1,28 @@
 """Toxicity by nearest labelled examples.
 
-A bounded, reproducible sample of labelled documents (MOST_EXAMPLES a class) are the examples. All their words and word
-stems are the terms: vectors are sublinear term frequency times inverse document frequency, the latter counted over all
-rows of the table. Every document's whole text is searched exactly: terms of many examples are a matrix, the others an
-inverted index, and what may be among the nearest by these sums is computed again in full precision. The neighbours vote
-with their cosines, weighted so that the sample's classes count as in the whole; leave-one-out votes of the examples
-calibrate votes to probabilities (isotonic regression). Words of no example are left out of a text's vector: they would
-make all its cosines smaller by one factor, so they change neither neighbours nor vote. Only a text that shares no word or
-stem with any example gets the share of toxic ones among the examples without any. Evidence is the nearest examples and the
-weightiest terms met.
-
-Null and empty texts are scored as texts without terms. Repeated rows score alike. Labels that are null, or of documents
-that do not exist, teach nothing; without labels of both kinds every score is the toxic share (0 if there is no label).
-Other columns, and all labels at scoring time, are ignored.
+A bounded, reproducible sample of labelled documents (MOST_EXAMPLES a class) are the examples. Terms are the stems of all
+words, their first STEM letters; a vector has sublinear term frequencies times inverse document frequencies, the latter
+counted over all rows of the table, and unit length. The examples stand in blocks of BLOCK similar ones, and the inverted
+index has, for every term and block, the postings and the largest weight. A document's whole text is searched exactly: the
+weights bound what any example of a block can reach, blocks are visited from the highest bound down, and the search ends
+where no bound reaches the NEIGHBOURS-th best cosine found. The neighbours vote with their cosines, weighted so that the
+sample's classes count as in the whole; leave-one-out votes of the examples calibrate votes to probabilities (isotonic
+regression, straight lines between its steps). Evidence names the neighbours.
+
+Words whose stem is in no example are left out of a text's vector: they would make all its cosines smaller by one factor,
+so they change neither neighbours nor vote. Only a text that shares no stem with any example gets the share of toxic ones
+among the examples without stems.
+
+Null and empty texts are scored as texts without stems. Repeated rows score alike. Of rows that repeat a labelled id the
+one whose text comes first in order teaches; of its labels the larger. Labels that are null, or of documents that do not
+exist, teach nothing; without labels of both kinds every score is the toxic share (0 if there is no label). Equal cosines:
+the smaller id is nearer. Ids are cast to long. Other columns, and all labels at scoring time, are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MOST_EXAMPLES, NEIGHBOURS, BLOCK, THRESHOLD, FOLDS, HELD_OUT = 4000, 25, 64, 0.3, 4, 2
-#: A term of more than this share of the examples is a row of the matrix; sums in its single precision are off by less than NEAR.
-COMMON, NEAR = 0.05, 1e-4
-STEMS, CACHE = (4, 5), 400_000
+MOST_EXAMPLES, NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD, FOLDS, HELD_OUT = 1500, 15, 16, 6, 0.3, 4, 2
+STEM, CACHE = 4, 400_000
 _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
 
@@ -40,52 +41,64 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def terms_of(token: str) -> tuple[str, ...]:
-    """A token's word and its stems; a token without letters has none."""
+def stem(token: str) -> str:
+    """The stem of a token's word; empty if it has no letter."""
     word = token.strip(_EDGE)
-    if not any(c.isalpha() for c in word[:8]):
-        return ()
-    return (word, *("^" + word[:n] for n in STEMS if len(word) > n))
+    return word[:STEM] if any(map(str.isalpha, word)) else ""
 
 
 def term_counts(text: str | None) -> Counter:
     out: Counter = Counter()
     for token, n in Counter((text or "").lower().split()).items():
-        for term in terms_of(token):
+        term = stem(token)
+        if term:
             out[term] += n
     return out
 
 
-def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after another."""
-    size = ends - begins
-    return np.repeat(begins - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 class _Terms(dict):
-    """Token to the numbers of its terms."""
+    """Token to the number of its stem, -1 if it has none."""
 
     def __init__(self, number: dict[str, int]):
         super().__init__()
         self.number = number
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
+    def __missing__(self, token: str) -> int:
         if len(self) > CACHE:
             self.clear()
-        got = self[token] = tuple(self.number[t] for t in terms_of(token) if t in self.number)
+        got = self[token] = self.number.get(stem(token), -1)
         return got
 
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """A text's term numbers, ascending, and how often each stands in it."""
+        words = (text or "").lower().split()
+        n = np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, len(words)) + 1, minlength=1)
+        ids = np.flatnonzero(n[1:])
+        return ids, n[1:][ids]
+
 
-def _numbers(tokens: _Terms, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A text's term numbers, ascending, and how often each stands in it."""
-    words = (text or "").lower().split()
-    return np.unique(np.fromiter(chain.from_iterable(map(tokens.__getitem__, words)), np.int64), return_counts=True)
+def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    size = ends - begins
+    return np.repeat(begins - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _in_rows(similar: np.ndarray) -> np.ndarray:
+    """An order in which each item is followed by the most similar one that is left."""
+    left, order = np.ones(len(similar), bool), [0]
+    left[0] = False
+    for _ in range(len(similar) - 1):
+        k = int(np.where(left, similar[order[-1]], -1.0).argmax())
+        left[k] = False
+        order.append(k)
+    return np.array(order)
 
 
 class Model:
-    """Terms, the examples' inverted index, and the calibration."""
+    """Terms, the examples' block-max inverted index, and the calibration."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: tuple[float, float]):
+        """examples: (id, label, term numbers, counts) each."""
         self.terms, self.idf = terms, np.asarray(idf, float)
         self.number = {t: k for k, t in enumerate(terms)}
         self.weights, self.prior = weights, 0.0
@@ -93,83 +106,61 @@ class Model:
         bare = [toxic for _, toxic, ids, _ in examples if not len(ids)]
         w = [sum(weights[t] for t in bare if t == y) for y in (0, 1)]
         self.prior = (w[1] + 1e-3) / (sum(w) + 1.0) if bare else 0.0
-        vectors = [(doc_id, toxic, *self.vector(ids, n)) for doc_id, toxic, ids, n in examples if len(ids)]
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.toxic = np.array([v[1] for v in vectors], np.int64)
-        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[2]) for v in vectors]) if vectors else np.zeros(0, np.int32)
-        cols = np.concatenate([v[2] for v in vectors]) if vectors else np.zeros(0, int)
-        vals = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0)
-        order = np.argsort(cols, kind="stable")
-        self.rows, self.vals = rows[order], vals[order].astype(np.float32)
-        # where each term's postings begin and end
-        ends = np.searchsorted(cols[order], np.arange(len(terms) + 1))
-        self.at = np.stack([ends[:-1], ends[1:]], axis=1)
-        self._made = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_made": None}
-
-    def vector(self, ids, n=None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights, of a mapping of numbers to counts or of both as arrays."""
-        if n is None:
-            ids, n = sorted(ids), [ids[i] for i in sorted(ids)]
+        examples = [e for e in examples if len(e[2])]
+        self.vectors = [self.vector(ids, n) for _, _, ids, n in examples]
+        if examples:
+            dense = np.zeros((len(examples), len(terms)), np.float32)
+            for k, (ids, v) in enumerate(self.vectors):
+                dense[k, ids] = v
+            order = _in_rows(dense @ dense.T).tolist()
+            del dense
+            examples, self.vectors = [examples[k] for k in order], [self.vectors[k] for k in order]
+        self.ids = np.array([e[0] for e in examples], np.int64)
+        self.toxic = np.array([e[1] for e in examples], np.int64)
+        n, self.blocks = len(examples), -(-len(examples) // BLOCK)
+        rows = np.repeat(np.arange(n), [len(v[0]) for v in self.vectors]) if n else np.zeros(0, int)
+        cols = np.concatenate([v[0] for v in self.vectors]) if n else np.zeros(0, int)
+        vals = np.concatenate([v[1] for v in self.vectors]) if n else np.zeros(0)
+        order = np.lexsort((rows, cols))
+        self.rows, self.vals = rows[order], vals[order]
+        cell = cols[order] * max(1, self.blocks) + self.rows // BLOCK
+        # where the postings of each term and block begin; the last ends
+        self.at = np.searchsorted(cell, np.arange(len(terms) * max(1, self.blocks) + 1)).astype(np.int32)
+        most = np.zeros(len(terms) * max(1, self.blocks), np.float32)
+        np.maximum.at(most, cell, np.nextafter(self.vals.astype(np.float32), np.float32(2)))
+        self.most = most.reshape(len(terms), max(1, self.blocks))
+
+    def vector(self, ids, n) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and unit weights."""
         ids = np.asarray(ids, int)
-        if not len(ids):
-            return ids, np.zeros(0)
-        v = (1 + np.log(n)) * self.idf[ids]
-        return ids, v / np.linalg.norm(v)
-
-    def _index(self):
-        """Made once per process: common terms' numbers in the matrix (-1: none), the matrix, and the examples' own terms."""
-        if self._made is None:
-            size = self.at[:, 1] - self.at[:, 0]
-            common = np.flatnonzero(size > COMMON * len(self.ids))
-            place = np.full(len(self.terms), -1)
-            place[common] = np.arange(len(common))
-            matrix = np.zeros((len(common), len(self.ids)), np.float32)
-            for k, t in enumerate(common.tolist()):
-                a, z = self.at[t]
-                matrix[k, self.rows[a:z]] = self.vals[a:z]
-            order = np.argsort(self.rows, kind="stable")
-            own = np.repeat(np.arange(len(self.terms), dtype=np.int32), size)[order], self.vals[order]
-            ends = np.searchsorted(self.rows[order], np.arange(len(self.ids) + 1))
-            self._made = place, matrix, *own, ends, np.zeros(len(self.terms))
-        return self._made
-
-    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each query (cosine, example) of the k nearest examples that share a term; exact, ties to the smaller number."""
+        v = (1 + np.log(np.asarray(n, float))) * self.idf[ids]
+        return ids, v / np.linalg.norm(v) if len(ids) else v
+
+    def nearest(self, ids: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest examples that share a term; exact, ties to the smaller id."""
         n = len(self.ids)
-        if not n:
-            return [[] for _ in queries]
-        place, matrix, cols, vals, ends, spread = self._index()
-        asked = np.zeros((len(queries), len(matrix)), np.float32)
-        for j, (ids, v) in enumerate(queries):
-            here = place[ids]
-            asked[j, here[here >= 0]] = v[here >= 0]
-        sums = asked @ matrix
-        out: list[list[tuple[float, int]]] = []
-        for j, (ids, v) in enumerate(queries):
-            few = place[ids] < 0
-            pos, weight = _ranges(self.at[ids[few], 0], self.at[ids[few], 1]), np.repeat(v[few], self.at[ids[few], 1] - self.at[ids[few], 0])
-            got = sums[j] + np.bincount(self.rows[pos], weights=self.vals[pos] * weight, minlength=n)
+        if not n or not len(ids):
+            return []
+        bounds = v.astype(np.float32) @ self.most[ids] * np.float32(1 + 1e-4)
+        by_bound = np.argsort(-bounds, kind="stable")
+        sums, least, begin, take = np.zeros(n), 0.0, 0, FIRST_BLOCKS
+        while begin < len(by_bound):
+            some = by_bound[begin : begin + take]
+            some = some[(bounds[some] >= least) & (bounds[some] > 0)]
+            if not len(some):
+                break
+            cells = (ids[:, None] * self.blocks + some[None, :]).ravel()
+            begins, ends = self.at[cells], self.at[cells + 1]
+            pos = _ranges(begins, ends)
+            weight = np.repeat(np.repeat(v, len(some)), ends - begins)
+            sums += np.bincount(self.rows[pos], weights=self.vals[pos] * weight, minlength=n)
             if without is not None:
-                got[without[j]] = 0.0
-            least = np.partition(got, n - k)[n - k] - NEAR if n > k else 0.0
-            near = np.flatnonzero((got > 0) & (got >= least))
-            if not len(near):
-                out.append([])
-                continue
-            spread[ids] = v
-            pos = _ranges(ends[near], ends[near + 1])
-            size = ends[near + 1] - ends[near]
-            exact = np.add.reduceat(spread[cols[pos]] * vals[pos], np.cumsum(size) - size)
-            spread[ids] = 0.0
-            best = np.lexsort((near, -exact))[:k]
-            out.append(list(zip(exact[best].tolist(), near[best].tolist(), strict=True)))
-        return out
-
-    def nearest(self, ids: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        return self.nearest_each([(ids, v)], k)[0]
+                sums[without] = 0.0
+            least = np.partition(sums, n - k)[n - k] if n > k else 0.0
+            begin, take = begin + take, 4 * take
+        near = np.flatnonzero((sums > 0) & (sums >= least))
+        best = near[np.lexsort((self.ids[near], -sums[near]))[:k]]
+        return list(zip(sums[best].tolist(), best.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         w = [c * self.weights[self.toxic[j]] for c, j in near]
@@ -178,28 +169,23 @@ class Model:
     def calibrate(self) -> None:
         """Isotonic regression of labels on leave-one-out votes."""
         told = []
-        *_, cols, vals, ends, _ = self._index()
-        for low in range(0, len(self.ids), BLOCK):
-            some = list(range(low, min(low + BLOCK, len(self.ids))))
-            vectors = [(cols[ends[j] : ends[j + 1]], vals[ends[j] : ends[j + 1]]) for j in some]
-            for j, near in zip(some, self.nearest_each(vectors, without=some), strict=True):
-                if near:
-                    toxic = int(self.toxic[j])
-                    told.append((self.vote(near), toxic, self.weights[toxic]))
-        merged: list[list[float]] = []  # vote, mean, weight
+        for j, (ids, v) in enumerate(self.vectors):
+            near = self.nearest(ids, v, without=j)
+            if near:
+                toxic = int(self.toxic[j])
+                told.append((self.vote(near), toxic, self.weights[toxic]))
+        merged: list[list[float]] = []  # first vote, last vote, mean label, weight
         for vote, toxic, w in sorted(told):
-            merged.append([vote, float(toxic), w])
-            while len(merged) > 1 and (merged[-2][1] >= merged[-1][1] or merged[-2][0] == merged[-1][0]):
+            merged.append([vote, vote, float(toxic), w])
+            while len(merged) > 1 and (merged[-2][2] >= merged[-1][2] or merged[-2][1] == merged[-1][0]):
                 x, y = merged.pop(), merged.pop()
-                merged.append([x[0], (x[1] * x[2] + y[1] * y[2]) / (x[2] + y[2]), x[2] + y[2]])
+                merged.append([y[0], x[1], (x[2] * x[3] + y[2] * y[3]) / (x[3] + y[3]), x[3] + y[3]])
         if merged:
-            self.steps = np.array([m[0] for m in merged]), np.array([m[1] for m in merged])
+            self.steps = np.array([(m[0] + m[1]) / 2 for m in merged]), np.array([m[2] for m in merged])
+        del self.vectors
 
     def score(self, near: list[tuple[float, int]]) -> float:
-        if not near:
-            return self.prior
-        votes, means = self.steps
-        return float(means[min(np.searchsorted(votes, self.vote(near) - 1e-12), len(means) - 1)])
+        return float(np.interp(self.vote(near), *self.steps)) if near else self.prior
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_EXAMPLES) -> Model:
@@ -227,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).join(F.broadcast(chosen), "id")
-    examples = cut(texts.select("id", "toxic", "body").dropDuplicates(["id"]).mapInArrow(count, "id long, toxic int, terms array<string>, n array<int>"))
+    examples = cut(texts.groupBy("id", "toxic").agg(F.min("body").alias("body")).mapInArrow(count, "id long, toxic int, terms array<string>, n array<int>"))
     seen = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     total, weights = sum(n.values()), tuple(n.get(y, 0) / seen[y] if seen.get(y) else 0.0 for y in (0, 1))
     if len(seen) < 2:
@@ -246,8 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
-                found = set(chain.from_iterable(map(tokens.__getitem__, set((text or "").lower().split()))))
-                n[np.fromiter(found, np.int64, len(found))] += 1
+                n[tokens.of(text)[0]] += 1
         kept = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1).astype("i4")), pa.array(np.append(n[kept], rows))], ["term", "rows"])
 
@@ -267,37 +252,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scorer(model: Model):
-    """texts -> (score, nearest, the vector's term numbers and weights) of each."""
+    """text -> (score, neighbours)."""
     tokens = _Terms(model.number)
 
-    def run(texts: list[str | None]):
-        for low in range(0, len(texts), BLOCK):
-            vectors = [model.vector(*_numbers(tokens, t)) for t in texts[low : low + BLOCK]]
-            for near, vector in zip(model.nearest_each(vectors), vectors, strict=True):
-                yield model.score(near), near, *vector
+    def run(text: str | None) -> tuple[float, list[tuple[float, int]]]:
+        near = model.nearest(*model.vector(*tokens.of(text)))
+        return min(1.0, max(0.0, model.score(near))), near
 
     return run
 
 
-def _evidence(model: Model, near: list[tuple[float, int]], ids: np.ndarray, v: np.ndarray) -> str:
-    if not len(ids):
-        return ""
-    first = ids[np.lexsort((ids, -v))[:8]].tolist()
-    return "; ".join([" ".join(model.terms[t] for t in first), *(f"{model.ids[j]}:{model.toxic[j]}:{c:.3f}" for c, j in near[:3])])
+def _evidence(model: Model, near: list[tuple[float, int]]) -> str:
+    return " ".join(f"{model.ids[j]}:{model.toxic[j]}:{c:.3f}" for c, j in near)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence): one row per row. evidence names terms and nearest examples."""
+    """(doc_id, held_out, score, predicted, evidence): one row per row. evidence: id:label:cosine of the neighbours."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 x MOST_EXAMPLES examples and their terms
 
     def run(batches):
         model = shared.value
         of = _scorer(model)
         for batch in batches:
-            scores, evidence = [], []
-            for p, near, ids, v in of(batch.column(1).to_pylist()):
-                scores.append(min(1.0, max(0.0, p)))
-                evidence.append(_evidence(model, near, ids, v))
+            got = [of(t) for t in batch.column(1).to_pylist()]
+            scores, evidence = [g[0] for g in got], [_evidence(model, g[1]) for g in got]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -320,6 +298,6 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         run = _scorer(shared.value)
-        return pa.array([got[0] for got in run(texts.to_pylist())], pa.float64())
+        return pa.array([run(t)[0] for t in texts.to_pylist()], pa.float64())
 
     return docs.where(of(F.col(text_col).cast("string")) < threshold)

@@ -1,12 +1,15 @@
 """Each operator against brute force, and its defined results for nulls, empties, ties, repeats and clashing columns."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from pactline.llm import ann, bpe, embed_dedup, html_text, line_dedup, packing, pii, simhash, token_counts, toxicity
 from pactline.llm.common import components
@@ -148,16 +151,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[1200]["score"] == got[1201]["score"] == model.prior
     kept = {r["doc_id"] for r in toxicity.reject(docs, model).collect()}
     assert kept == {k for k in got if not got[k]["predicted"]}
-    # exact search: the index finds what a full scan finds
-    counts = {k: {model.number[t]: n for t, n in toxicity.term_counts(text).items() if t in model.number} for k, text in ((r["doc_id"], r["text"]) for r in docs.limit(60).collect())}
-    dense = np.zeros((len(model.ids), len(model.terms)))
-    cols = np.repeat(np.arange(len(model.terms)), np.diff(np.append(model.at[:, 0], len(model.rows))))
-    dense[model.rows, cols] = model.vals
-    for c in counts.values():
-        ids, v = model.vector(c)
-        near = model.nearest(ids, v)
-        want = np.sort((dense[:, ids] @ v)[(dense[:, ids] @ v) > 0])[::-1][:25] if len(ids) else []
-        assert np.allclose([n[0] for n in near], want)
+    # search and votes by brute force: cosines of plain dictionaries over all examples
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    label = {k: int(k % 6 == 0) for k in range(1200)}
+    df = {t: sum(t in {w[:4] for w in (x or "").split()} for x in rows.values()) for t in model.terms}
+
+    def weights(text):
+        n = Counter(w[:4] for w in (text or "").split())
+        v = {t: (1 + math.log(c)) * math.log(1 + len(rows) / df[t]) for t, c in n.items() if t in df}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    examples = {int(k): weights(rows[int(k)]) for k in model.ids}
+    for k in range(0, 1200, 25):
+        v = weights(rows[k])
+        near = sorted(((-sum(x * e.get(t, 0.0) for t, x in v.items()), j) for j, e in examples.items()))[:15]
+        told = [(int(i), int(y), float(c)) for i, y, c in (e.split(":") for e in got[k]["evidence"].split())]
+        assert np.allclose([-c for c, _ in near], [c for *_, c in told], atol=6e-4) and all(y == label[i] for i, y, _ in told)
+        w = [(-c * model.weights[label[j]], label[j]) for c, j in near]
+        assert np.isclose(got[k]["score"], np.interp(sum(x for x, y in w if y) / sum(x for x, _ in w), *model.steps))
     empty = toxicity.fit(docs, labels.where("doc_id < 0"))
     assert {r["score"] for r in toxicity.score(docs, empty).collect()} == {0.0}
 
@@ -319,14 +331,50 @@ def test_toxicity_counts_all_words_of_the_examples(spark):
     taught = [k for k in range(0, 400, 5) if not toxicity.held_out(k)]
     docs = docs_of(spark, [*texts, *(texts[k] for k in taught[:10])])
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert set(model.terms) >= {w for k in taught for w in texts[k].split()} | {"fine0"}
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     for j, k in enumerate(taught[:10]):
         assert f"{k}:1:1.000" in got[400 + j]["evidence"]
-    assert all("; " in got[k]["evidence"] and got[k]["score"] < 0.3 for k in range(400) if k % 5)
+    assert all(got[k]["evidence"] and got[k]["score"] < 0.3 for k in range(400) if k % 5)
     n = docs.count()
-    df = sum("fine0" in r["text"].split() for r in docs.collect())
-    assert np.isclose(model.idf[model.number["fine0"]], np.log(1 + n / df))
+    df = sum(any(w[:4] == "fine" for w in r["text"].split()) for r in docs.collect())
+    assert np.isclose(model.idf[model.number["fine"]], np.log(1 + n / df))
+    assert toxicity.stem("12345678bad") == "1234" and toxicity.stem("«Bad»") == "Bad" and toxicity.stem("123") == ""
+
+
+def test_block_max_search_skips_blocks_and_finds_what_a_full_scan_finds():
+    rng = np.random.default_rng(12)
+    terms = [f"t{k}" for k in range(800)]
+    examples = []
+    for k in range(600):  # four groups of terms, as four languages would have
+        ids = np.unique(rng.integers(0, 200, 40) + 200 * (k % 4))
+        examples.append((int(k), int(k % 7 == 0), ids, rng.integers(1, 9, len(ids))))
+    examples += [(1000 + k, 0, examples[k][2], examples[k][3]) for k in range(5)]  # repeated texts: ties
+    model = toxicity.Model(terms, rng.uniform(0.7, 5, 800), examples, (1.0, 3.0))
+    dense = np.zeros((len(model.ids), 800))
+    for j, (ids, v) in enumerate(model.vectors):
+        dense[j, ids] = v
+    seen = []
+    for _, _, ids, n in [*examples[:40], (0, 0, np.array([5]), np.array([1])), (0, 0, np.arange(800), np.ones(800))]:
+        ids, v = model.vector(ids, n)
+        scores = dense[:, ids] @ v
+        want = [j for j in np.lexsort((model.ids, -scores.round(12))) if scores[j] > 0][:15]
+        near = model.nearest(ids, v)
+        assert np.allclose([c for c, _ in near], scores[want]) and {model.ids[j] for _, j in near} == set(model.ids[want])
+        seen.append((v.astype(np.float32) @ model.most[ids] >= near[-1][0]).mean())
+    assert np.mean(seen[:40]) < 0.5  # more than half of all blocks cannot hold a neighbour
+    assert model.nearest(np.zeros(0, int), np.zeros(0)) == []
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs, labels = toxic_table(spark)
+    none = docs.where("doc_id < 0")
+    model = toxicity.fit(none, labels)
+    assert model.prior == 0.0 and toxicity.score(none, model).count() == 0 and toxicity.reject(none, model).count() == 0
+    twice = docs.union(docs_of(spark, ["zzzz " * 20_000], 0)).union(docs_of(spark, [None], 6)).withColumn("score", F.lit(1)).withColumn("body", F.lit("x")).withColumn("toxic", F.lit(9))
+    model = toxicity.fit(twice, labels.union(labels))
+    got = toxicity.score(twice, model).collect()
+    assert len(got) == twice.count() and len({r["score"] for r in got if r["doc_id"] == 1200}) == 1
+    assert toxicity.reject(twice, model).columns == twice.columns
 
 
 def test_short_lines_and_tails_of_passages_are_found():
