@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples.
 
 A bounded, reproducible sample of labelled documents (MOST_EXAMPLES a class) are the examples. Terms are the stems of all
-words, their first STEM letters; a vector has sublinear term frequencies times inverse document frequencies, the latter
+words, their first STEM characters; a vector has sublinear term frequencies times inverse document frequencies, the latter
 counted over all rows of the table, and unit length. The examples stand in blocks of BLOCK similar ones, and the inverted
-index has, for every term and block, the postings and the largest weight. A document's whole text is searched exactly: the
+index has the largest weight of every term and block, and per block its terms with their weights in its examples. A document's whole text is searched exactly: the
 weights bound what any example of a block can reach, blocks are visited from the highest bound down, and the search ends
 where no bound reaches the NEIGHBOURS-th best cosine found. The neighbours vote with their cosines, weighted so that the
 sample's classes count as in the whole; leave-one-out votes of the examples calibrate votes to probabilities (isotonic
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MOST_EXAMPLES, NEIGHBOURS, BLOCK, FIRST_BLOCKS, THRESHOLD, FOLDS, HELD_OUT = 1500, 15, 16, 6, 0.3, 4, 2
+MOST_EXAMPLES, NEIGHBOURS, BLOCK, FIRST_BLOCKS, BATCH, THRESHOLD, FOLDS, HELD_OUT = 1500, 15, 16, 6, 64, 0.3, 4, 2
 STEM, CACHE = 4, 400_000
 _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
@@ -77,12 +77,6 @@ class _Terms(dict):
         return ids, n[1:][ids]
 
 
-def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after another."""
-    size = ends - begins
-    return np.repeat(begins - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 def _in_rows(similar: np.ndarray) -> np.ndarray:
     """An order in which each item is followed by the most similar one that is left."""
     left, order = np.ones(len(similar), bool), [0]
@@ -117,18 +111,17 @@ class Model:
             examples, self.vectors = [examples[k] for k in order], [self.vectors[k] for k in order]
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.toxic = np.array([e[1] for e in examples], np.int64)
-        n, self.blocks = len(examples), -(-len(examples) // BLOCK)
-        rows = np.repeat(np.arange(n), [len(v[0]) for v in self.vectors]) if n else np.zeros(0, int)
-        cols = np.concatenate([v[0] for v in self.vectors]) if n else np.zeros(0, int)
-        vals = np.concatenate([v[1] for v in self.vectors]) if n else np.zeros(0)
-        order = np.lexsort((rows, cols))
-        self.rows, self.vals = rows[order], vals[order]
-        cell = cols[order] * max(1, self.blocks) + self.rows // BLOCK
-        # where the postings of each term and block begin; the last ends
-        self.at = np.searchsorted(cell, np.arange(len(terms) * max(1, self.blocks) + 1)).astype(np.int32)
-        most = np.zeros(len(terms) * max(1, self.blocks), np.float32)
-        np.maximum.at(most, cell, np.nextafter(self.vals.astype(np.float32), np.float32(2)))
-        self.most = most.reshape(len(terms), max(1, self.blocks))
+        self.blocks = -(-len(examples) // BLOCK)
+        self.most = np.zeros((len(terms), self.blocks), np.float32)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # a block's terms, and their weights in its examples
+        for b in range(self.blocks):
+            own = self.vectors[b * BLOCK : (b + 1) * BLOCK]
+            used = np.unique(np.concatenate([ids for ids, _ in own]))
+            weights_of = np.zeros((len(used), len(own)))
+            for k, (ids, v) in enumerate(own):
+                weights_of[np.searchsorted(used, ids), k] = v
+            self.most[used, b] = np.nextafter(weights_of.max(1).astype(np.float32), np.float32(2))
+            self.parts.append((used, weights_of))
 
     def vector(self, ids, n) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit weights."""
@@ -136,31 +129,39 @@ class Model:
         v = (1 + np.log(np.asarray(n, float))) * self.idf[ids]
         return ids, v / np.linalg.norm(v) if len(ids) else v
 
-    def nearest(self, ids: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest examples that share a term; exact, ties to the smaller id."""
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (cosine, example) of the k nearest examples that share a term; exact, ties to the smaller id."""
         n = len(self.ids)
-        if not n or not len(ids):
-            return []
-        bounds = v.astype(np.float32) @ self.most[ids] * np.float32(1 + 1e-4)
-        by_bound = np.argsort(-bounds, kind="stable")
-        sums, least, begin, take = np.zeros(n), 0.0, 0, FIRST_BLOCKS
-        while begin < len(by_bound):
-            some = by_bound[begin : begin + take]
-            some = some[(bounds[some] >= least) & (bounds[some] > 0)]
-            if not len(some):
-                break
-            cells = (ids[:, None] * self.blocks + some[None, :]).ravel()
-            begins, ends = self.at[cells], self.at[cells + 1]
-            pos = _ranges(begins, ends)
-            weight = np.repeat(np.repeat(v, len(some)), ends - begins)
-            sums += np.bincount(self.rows[pos], weights=self.vals[pos] * weight, minlength=n)
+        if not n or not queries:
+            return [[] for _ in queries]
+        spread = np.zeros((len(queries), len(self.terms)))
+        for j, (ids, v) in enumerate(queries):
+            spread[j, ids] = v
+        bounds = spread.astype(np.float32) @ self.most * np.float32(1 + 1e-4)
+        sums = np.zeros((len(queries), n))
+        # the blocks of the highest bounds first; then those whose bound reaches the k-th best cosine in these
+        high = np.partition(bounds, -FIRST_BLOCKS, axis=1)[:, -FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.zeros(len(queries))
+        visit = seen = (bounds >= high[:, None]) & (bounds > 0)
+        for wave in range(2):
+            if wave:
+                least = np.partition(sums, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(queries))
+                visit = (bounds >= least[:, None]) & (bounds > 0) & ~seen
+            for b in np.flatnonzero(visit.any(0)).tolist():
+                who, (used, weights_of) = np.flatnonzero(visit[:, b]), self.parts[b]
+                sums[who, b * BLOCK : b * BLOCK + weights_of.shape[1]] = spread[who[:, None], used[None, :]] @ weights_of
             if without is not None:
-                sums[without] = 0.0
-            least = np.partition(sums, n - k)[n - k] if n > k else 0.0
-            begin, take = begin + take, 4 * take
-        near = np.flatnonzero((sums > 0) & (sums >= least))
-        best = near[np.lexsort((self.ids[near], -sums[near]))[:k]]
-        return list(zip(sums[best].tolist(), best.tolist(), strict=True))
+                sums[np.arange(len(queries)), without] = 0.0
+        sums = sums.round(12)  # what is equal but for the order of its sum is a tie
+        out = []
+        for row in sums:
+            least = np.partition(row, n - k)[n - k] if n > k else 0.0
+            near = np.flatnonzero((row > 0) & (row >= least))
+            best = near[np.lexsort((self.ids[near], -row[near]))[:k]]
+            out.append(list(zip(row[best].tolist(), best.tolist(), strict=True)))
+        return out
+
+    def nearest(self, ids: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        return self.nearest_each([(ids, v)], k)[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         w = [c * self.weights[self.toxic[j]] for c, j in near]
@@ -169,11 +170,12 @@ class Model:
     def calibrate(self) -> None:
         """Isotonic regression of labels on leave-one-out votes."""
         told = []
-        for j, (ids, v) in enumerate(self.vectors):
-            near = self.nearest(ids, v, without=j)
-            if near:
-                toxic = int(self.toxic[j])
-                told.append((self.vote(near), toxic, self.weights[toxic]))
+        for low in range(0, len(self.ids), BATCH):
+            some = list(range(low, min(low + BATCH, len(self.ids))))
+            for j, near in zip(some, self.nearest_each([self.vectors[j] for j in some], without=some), strict=True):
+                if near:
+                    toxic = int(self.toxic[j])
+                    told.append((self.vote(near), toxic, self.weights[toxic]))
         merged: list[list[float]] = []  # first vote, last vote, mean label, weight
         for vote, toxic, w in sorted(told):
             merged.append([vote, vote, float(toxic), w])
@@ -252,12 +254,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scorer(model: Model):
-    """text -> (score, neighbours)."""
+    """texts -> (score, neighbours) of each."""
     tokens = _Terms(model.number)
 
-    def run(text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        near = model.nearest(*model.vector(*tokens.of(text)))
-        return min(1.0, max(0.0, model.score(near))), near
+    def run(texts: list[str | None]):
+        for low in range(0, len(texts), BATCH):
+            for near in model.nearest_each([model.vector(*tokens.of(t)) for t in texts[low : low + BATCH]]):
+                yield min(1.0, max(0.0, model.score(near))), near
 
     return run
 
@@ -274,7 +277,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = shared.value
         of = _scorer(model)
         for batch in batches:
-            got = [of(t) for t in batch.column(1).to_pylist()]
+            got = list(of(batch.column(1).to_pylist()))
             scores, evidence = [g[0] for g in got], [_evidence(model, g[1]) for g in got]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -298,6 +301,6 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         run = _scorer(shared.value)
-        return pa.array([run(t)[0] for t in texts.to_pylist()], pa.float64())
+        return pa.array([got[0] for got in run(texts.to_pylist())], pa.float64())
 
     return docs.where(of(F.col(text_col).cast("string")) < threshold)
