@@ -229,6 +229,72 @@ def test_pages_with_nothing_in_them(spark):
     assert got[7]["n_chars"] == 5 * 5000 - 1
 
 
+def prose(n, seed=1):
+    rng = random.Random(seed)
+    return [" ".join(rng.choices([f"word{k}" for k in range(90)], k=rng.randint(9, 30))).capitalize() + "." for _ in range(n)]
+
+
+def page(body):
+    return f"<html><head><title>t</title></head><body><div><a href=1>home</a> <a href=2>more</a></div>{body}<div class='cookie-bar'>We use cookies.</div></body></html>"
+
+
+@pytest.mark.parametrize("tag", ['<form id="aspnetForm">', '<div class="post form-factor">', '<div class="search-engine-history share-price">', '<div class="notice">'])
+def test_marks_that_the_ratio_refutes(tag):
+    name = tag[1:].split()[0]
+    lines = prose(40)
+    inner = "".join(f"<p>{x}</p>" for x in lines)
+    assert html_text.main_text(page(f"{tag}{inner}</{name}>")) == "\n".join(lines)
+
+
+def test_marks_that_hold():
+    lines = prose(12)
+    inner = "".join(f"<p>{x}</p>" for x in lines)
+    extra = f"<form><p>Your mail</p></form><div class='share'><a href=1>a</a> <a href=2>b</a></div><div class='newsletter'>{prose(1, 3)[0]}</div><section class='comments'>{''.join(f'<p>{x}</p>' for x in prose(60, 2))}</section>"
+    for wrap in ("article", "div", "main", "section"):
+        assert html_text.main_text(page(f"<{wrap}>{inner}</{wrap}>{extra}")) == "\n".join(lines)
+        assert html_text.main_text(page(f"<{wrap}>{inner}{extra}</{wrap}>")) == "\n".join(lines)
+    assert html_text.main_text(page(f"<div><div>{inner}</div><div>{inner}</div></div>")) == "\n".join(lines + lines)
+    deep = "<nav><ul>" + "<i>" * 30 + "<li>x" + "<b>" * 20 + "</ul></nav>" + f"<article><p>{'<i>' * 20}First.<p>Second.</article>"
+    assert html_text.main_text(deep) == "First.\nSecond."
+    html_text.main_text("<b>" * 60_000 + "</i>" * 60_000 + "<div>" * 3000 + "x")  # in reasonable time
+
+
+def test_ratio_smoothing_and_threshold_by_hand():
+    lines = [("x" * n, tags, 0, False) for n, tags in ((5, 4), (7, 3), (300, 2), (20, 2), (500, 2), (4, 6), (3, 5))]
+    raw = [math.log1p(len(x) / t) for x, t, *_ in lines]
+    kernel = [math.exp(-0.5 * d * d) for d in range(-3, 4)]
+    smooth = [sum(w * raw[min(max(i + d, 0), 6)] for d, w in zip(range(-3, 4), kernel)) / sum(kernel) for i in range(7)]
+    best = min(
+        (sum((x - np.mean(g)) ** 2 for g in (lo, hi) for x in g), c)
+        for c in sorted(smooth)[:-1]
+        if (lo := [x for x in smooth if x <= c]) and (hi := [x for x in smooth if x > c])
+    )[1]
+    assert html_text.content_lines(lines).tolist() == [x > best for x in smooth]
+
+
+def test_the_ratio_decides_where_pages_mark_nothing(spark, monkeypatch):
+    """Pages with their article, nav and footer tags made plain and their marks taken off."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_text.main_text(h) for h in pages]
+    plain = [re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", h).replace('class="ad"', "") for h in pages]
+    got = [html_text.main_text(h) for h in plain]
+    same = sum(a == b for a, b in zip(got, want, strict=True))
+    assert same > 0.7 * len(pages)
+    monkeypatch.setattr(html_text, "content_lines", lambda lines: np.ones(len(lines), bool))
+    without = [html_text.main_text(h) for h in plain]
+    assert sum(a == b for a, b in zip(without, want, strict=True)) < same
+    assert sum(a != b for a, b in zip(without, got, strict=True)) > 0.2 * len(pages)
+
+
+def test_html_tables(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a &amp; b", "x", 5, "y")], "page_id long, url string, html string, TEXT string, N_Chars int, __html string")
+    got = html_text.extract(rows)
+    assert got.columns == ["page_id", "url", "__html", "text", "n_chars"]
+    assert [tuple(r) for r in got.collect()] == [(1, "u", "y", "a & b", 5)]
+    assert html_text.extract(rows.where("page_id > 1")).count() == 0
+    assert [tuple(r) for r in html_text.extract(rows.select("html")).collect()] == [("a & b", 5)]
+
+
 def test_token_ledger(spark, tmp_path):
     blob = vocabulary("byte_bpe_50k.tiktoken")
     library = bpe.codec(blob, public_tokenizers.PATTERN)
