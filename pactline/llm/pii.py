@@ -1,16 +1,18 @@
 """Personal data by weak supervision.
 
 Base patterns find e-mail addresses, IP numbers, card numbers and phone numbers that pass their checks; these spans always
-stand. Wider patterns propose further spans of the same kinds (written-out addresses, IPv6, national phone numbers, card
-numbers in other groupings). Five labelers vote on every candidate, base or wider, with yes, no or nothing: the regex
-checks, the written form, gazetteers (top-level domains, issuers, calling codes), context words before it, and what
-touches it. Votes are counted by kind and pattern over all documents; expectation-maximisation on those counts estimates
-how reliable each labeler is and how likely each pattern is personal data, and these likelihoods train a logistic span
-classifier. Wider spans that it gives at least ACCEPT are added. Counts and models are as small as the patterns of votes
-are few, however many documents there are.
-
-Null texts count as empty. Repeated rows give repeated results. Offsets are code points, ends exclusive. In the digest,
-n_<kind> counts the base spans; spans lists base and added ones.
+stand. Wider patterns propose further spans of the same kinds (written-out and spaced addresses, IPv6, IP numbers with
+bracketed dots, national phone numbers, card numbers in other groupings). Six labelers vote on every candidate, base
+matches that fail their checks among them, with yes, no or nothing: the regex checks, the written form, gazetteers
+(top-level domains, issuers, calling codes), context words before it, what touches it, and the marks that set it off.
+Votes are counted by kind and pattern over all documents; expectation-maximisation on those counts estimates how reliable
+each labeler is and how likely each pattern is personal data. With these likelihoods as labels a logistic span classifier
+is trained on a bounded sample of candidates (SAMPLE a kind of match, by a hash of their place): its features are the
+votes, the span's shape, length and ends, and the words around it. Wider spans that it gives at least ACCEPT are added.
+
+Null texts count as empty. Repeated rows give repeated results, rows with a null id are searched too. Ids are cast to
+long. Offsets are code points, ends exclusive. In the digest, n_<kind> counts the base spans; spans lists base and added
+ones. An added span never overlaps a base span.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-ACCEPT, BEFORE = 0.9, 48
+ACCEPT, BEFORE, SAMPLE, HASHED = 0.9, 48, 4000, 2048
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
@@ -37,9 +41,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _WIDE_EMAIL = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63})+",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?|\x20at\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]++(?:(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|\[\.\])\x20?|\x20dot\x20|\x20\.\x20|\.)[A-Za-z0-9-]++)+",
     re.IGNORECASE,
 )
+_BRACKET_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
 _WIDE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _WIDE_CARD = re.compile(r"(?<![0-9.])[0-9]{4}([._/ ]|\x20-\x20|\x20\x20)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _WIDE_PHONE = re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[\x20.-][0-9\x20.-]{5,14}[0-9]|\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20.-][0-9]{3,5}|[0-9]{3}[.\x20-][0-9]{3}[.\x20-][0-9]{4})(?![0-9])")
@@ -105,7 +110,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 def _wide(text: str):
     low = text.lower()
-    if " at " in low or "[at]" in low or "(at)" in low or "{at}" in low:
+    if " at " in low or " @" in low or "@ " in low or "[at]" in low or "(at)" in low or "{at}" in low:
         for m in _WIDE_EMAIL.finditer(text):
             yield 0, m.start(), m.end()
     if not _DIGIT.search(text):
@@ -113,6 +118,9 @@ def _wide(text: str):
     if text.count(":") >= 3:
         for m in _WIDE_IP.finditer(text):
             yield 1, m.start(), m.end()
+    if "[" in text or "(.)" in text:
+        for m in _BRACKET_IP.finditer(text):
+            yield 1, m.start(), m.end()
     for m in _WIDE_CARD.finditer(text):
         yield 2, m.start(), m.end()
     for m in _WIDE_PHONE.finditer(text):
@@ -129,7 +137,7 @@ def _votes(text: str, kind: int, start: int, end: int, passes: bool | None) -> t
         known = 1 if tld in TLDS else 2
     elif kind == 1:
         try:
-            address = ipaddress.ip_address(span)
+            address = ipaddress.ip_address(re.sub(r"\[\.\]|\(\.\)|\[dot\]", ".", span, flags=re.IGNORECASE))
             form, known = 1, 1 if not (address.is_unspecified or address.is_reserved) else 2
         except ValueError:
             form, known = 2, 0
@@ -144,10 +152,34 @@ def _votes(text: str, kind: int, start: int, end: int, passes: bool | None) -> t
     before = [w.lower() for w in _WORDS.findall(text[max(0, start - BEFORE) : start])[-4:]]
     context = 2 if any(w in AGAINST for w in before) else 1 if any(w.startswith(CONTEXT[KINDS[kind]]) for w in before) else 0
     touch = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    return (0 if passes is None else 1 if passes else 2), form, known, context, 2 if touch else 0
+    ahead, behind = text[max(0, start - 2) : start].rstrip()[-1:], text[end : end + 1]
+    set_off = 1 if (ahead and ahead in ":<([\"'=") or (behind and behind in ">)]\"'") else 0
+    return (0 if passes is None else 1 if passes else 2), form, known, context, 2 if touch else 0, set_off
+
+
+LABELERS = 6
+
 
+def _shape(span: str) -> str:
+    """Digits as 9, letters as a, runs of either as one."""
+    out = []
+    for c in span:
+        c = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
+        if not out or c != out[-1] or c not in "9a":
+            out.append(c)
+    return "".join(out)
 
-LABELERS = 5
+
+def features(text: str, kind: int, start: int, end: int) -> list[int]:
+    """Hashed features of a span and its surroundings, ascending, for the span classifier."""
+    span, name = text[start:end], KINDS[kind]
+    before = [w.lower() for w in _WORDS.findall(text[max(0, start - BEFORE) : start])[-3:]]
+    after = [w.lower() for w in _WORDS.findall(text[end : end + BEFORE])[:2]]
+    told = [
+        f"shape {_shape(span)}", f"length {min(12, len(span) // 4)}", f"digits {min(20, len(_digits(span)))}", f"first {span[:1]}", f"last {span[-3:].lower()}",
+        f"ahead {text[start - 1 : start]}", f"behind {text[end : end + 1]}", *(f"before {w}" for w in before), *(f"next {w}" for w in before[-1:]), *(f"after {w}" for w in after),
+    ]
+    return sorted({zlib.crc32(f"{name} {x}".encode("utf-8", "surrogatepass")) % HASHED for x in told})
 
 
 def _code(kind: int, wide: bool, votes: tuple[int, ...]) -> int:
@@ -166,33 +198,29 @@ def _parts(code: int) -> tuple[int, bool, list[int]]:
 
 
 def candidates(text: str | None):
-    """(base spans, [(start, kind number, end, code)] of wider ones, codes of all candidates)."""
+    """(base spans, [(start, kind number, end, code, features)] of wider ones, [(start, kind number, end, code)] of all)."""
     text = text or ""
-    base, taken, codes = [], [], []
-    for kind, start, end, passes in _shaped(text):
+    base, tried, every = [], [], []
+    taken: list[tuple[list[int], list[int]]] = [([], []) for _ in KINDS]
+    for kind, start, end, passes in _shaped(text):  # by kind in the order of their places
         if passes:
             base.append((start, kind, end))
-            taken.append((start, end))
-        if passes or (kind == 1) or (kind == 3):
-            codes.append(_code(kind, False, _votes(text, kind, start, end, passes)))
-    wider = []
-    taken.sort()
+            taken[kind][0].append(start)
+            taken[kind][1].append(end)
+        if passes or kind != 2 or (end - start <= 37 and 12 <= len(_digits(text[start:end])) <= 19):  # other runs of digits are no card numbers at all
+            every.append((start, kind, end, _code(kind, False, _votes(text, kind, start, end, passes))))
     for kind, start, end in _wide(text):
-        if any(a < end and start < b for a, b in _near(taken, start, end)):
-            continue
-        code = _code(kind, True, _votes(text, kind, start, end, None))
-        wider.append((start, kind, end, code))
-        codes.append(code)
-    return sorted(base), sorted(wider), codes
+        if not any(_meets(*spans, start, end) for spans in taken):
+            code = _code(kind, True, _votes(text, kind, start, end, None))
+            tried.append((start, kind, end, code, features(text, kind, start, end)))
+            every.append((start, kind, end, code))
+    return sorted(base), sorted(tried), every
 
 
-def _near(taken: list[tuple[int, int]], start: int, end: int):
-    """Base spans that may overlap; spans of one kind don't overlap, so few kinds bound how far to look back."""
-    from bisect import bisect_left
-
-    k = bisect_left(taken, (end, 0))
-    for a, b in reversed(taken[:k][-64:]):
-        yield a, b
+def _meets(starts: list[int], ends: list[int], start: int, end: int) -> bool:
+    """Whether start to end overlaps one of the spans, which are in order and apart."""
+    k = bisect_left(starts, end)
+    return k > 0 and ends[k - 1] > start
 
 
 def estimate(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
@@ -223,53 +251,98 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     return out
 
 
-def _features(code: int) -> list[float]:
+def _inputs(code: int, hashed: list[int]) -> list[int]:
+    """Numbers of the classifier's inputs that are on: bias, kind and votes, then what features() gives."""
     kind, wide, votes = _parts(code)
-    return [1.0, float(wide), *(float(kind == k) for k in range(4)), *(float(v == x) for v in votes for x in (1, 2))]
+    on = [0, 1 + kind, *([5] if wide else []), *(6 + 2 * m + v - 1 for m, v in enumerate(votes) if v)]
+    return on + [6 + 2 * LABELERS + h for h in hashed]
+
 
+def train(rows: list[tuple[int, list[int]]], likely: dict[int, float], rounds: int = 60, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression on candidates (code, features) with the estimated likelihoods as soft labels.
 
-def train(counts: dict[int, int], likely: dict[int, float], rounds: int = 50, ridge: float = 1e-2) -> dict[int, float]:
-    """Logistic regression on vote features with the estimated likelihoods as soft labels: probability by pattern."""
-    codes = sorted(likely)
-    if not codes:
-        return {}
-    x = np.array([_features(c) for c in codes])
-    n, y = np.log1p([counts[c] for c in codes]), np.array([likely[c] for c in codes])
-    w = np.zeros(x.shape[1])
+    Steps of diagonal curvature, halved until the loss falls: no matrix over all features is needed.
+    """
+    w = np.zeros(6 + 2 * LABELERS + HASHED)
+    if not rows:
+        return w
+    on = [_inputs(c, h) for c, h in rows]
+    flat, owner = np.concatenate(on), np.repeat(np.arange(len(on)), [len(x) for x in on])
+    y = np.array([likely.get(c, 0.5) for c, _ in rows])
+    z = np.zeros(len(on))
+
+    def loss(z, w):
+        return (np.logaddexp(0, z) - y * z).sum() + ridge / 2 * (w * w).sum()
+
+    now = loss(z, w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
-        w += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-z))
+        slope = np.bincount(flat, (p - y)[owner], len(w)) + ridge * w
+        bend = np.bincount(flat, (p * (1 - p))[owner], len(w)) + ridge
+        step = slope / bend
+        size = 1.0
+        while size > 1e-6:
+            new = w - size * step
+            z_new = np.bincount(owner, new[flat], len(on))
+            if (then := loss(z_new, new)) < now:
+                break
+            size /= 2
+        else:
+            break
+        done = now - then < 1e-7 * abs(now)
+        w, z, now = new, z_new, then
+        if done:
             break
-    return dict(zip(codes, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+    return w
 
 
-_FOUND = "doc_id long, base array<struct<start:int,kind:int,end:int>>, wider array<struct<start:int,kind:int,end:int,code:int>>, codes array<int>"
+def probability(w: np.ndarray, code: int, hashed: list[int]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(w[_inputs(code, hashed)].sum(), -30, 30))))
+
+
+_FOUND = (
+    "doc_id long, base array<struct<start:int,kind:int,end:int>>, wider array<struct<start:int,kind:int,end:int,code:int,hashed:array<int>>>, "
+    "every array<struct<code:int,draw:long,hashed:array<int>>>"
+)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Candidates of every row's whole text, stored once; texts themselves are not."""
+    """Candidates of every row's whole text with votes and features, stored once; texts themselves are not."""
     span = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]
-    kinds = [pa.int64(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("code", pa.int32())])), pa.list_(pa.int32())]
+    hashed = ("hashed", pa.list_(pa.int32()))
+    kinds = [
+        pa.int64(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("code", pa.int32()), hashed])), pa.list_(pa.struct([("code", pa.int32()), ("draw", pa.int64()), hashed]))
+    ]
 
     def run(batches):
         for batch in batches:
-            got = [candidates(t) for t in batch.column(1).to_pylist()]
-            base = [[dict(zip(("start", "kind", "end"), s, strict=True)) for s in g[0]] for g in got]
-            wider = [[dict(zip(("start", "kind", "end", "code"), s, strict=True)) for s in g[1]] for g in got]
-            cols = [batch.column(0), base, wider, [g[2] for g in got]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(cols, kinds, strict=True)], ["doc_id", "base", "wider", "codes"])
+            base, wider, every = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sure, tried, all_of = candidates(text)
+                base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in sure])
+                wider.append([dict(zip(("start", "kind", "end", "code", "hashed"), x, strict=True)) for x in tried])
+                told = []
+                for start, kind, end, code in all_of:
+                    draw = zlib.crc32(f"{doc_id}:{kind}:{start}".encode())
+                    told.append({"code": code, "draw": draw, "hashed": features(text, kind, start, end)})
+                every.append(told)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((base, wider, every), kinds[1:], strict=True))], ["doc_id", "base", "wider", "every"])
 
     return cut(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _FOUND))
 
 
-def accepted(found: DataFrame) -> list[int]:
-    """Patterns of wider candidates that the span classifier accepts, learnt from the votes on all candidates."""
-    rows = found.select(F.explode("codes").alias("code")).groupBy("code").count().collect()  # 8 x 3^5 patterns at most
-    counts = {r["code"]: r["count"] for r in rows}
-    classed = train(counts, estimate(counts))
-    return sorted(c for c, p in classed.items() if _parts(c)[1] and p >= ACCEPT)
+def fit(found: DataFrame) -> np.ndarray:
+    """The span classifier's weights: votes of all candidates, estimated likelihoods, a sample with features."""
+    each = found.select(F.explode("every").alias("c"))
+    counts = {r["code"]: r["count"] for r in each.groupBy("c.code").count().collect()}  # 8 x 3^6 patterns at most
+    likely = estimate(counts)
+    rows = []
+    for match in range(2 * len(KINDS)):
+        mine = sorted(c for c in counts if c // 3**LABELERS == match)
+        if mine:
+            drawn = each.where(F.col("c.code").between(mine[0], mine[-1])).orderBy("c.draw", "c.code").limit(SAMPLE)
+            rows += [(r["code"], list(r["hashed"])) for r in drawn.select("c.code", "c.hashed").collect()]
+    return train(rows, likely)
 
 
 def _of_kind(number: int):
@@ -279,13 +352,21 @@ def _of_kind(number: int):
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row per row."""
     found = find(docs, id_col, text_col)
-    fine = accepted(found)
+    weights = fit(found)
     names = F.array(*(F.lit(k) for k in KINDS))
 
     def told(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
-    added = F.filter("wider", lambda s: s["code"].isin(fine)) if fine else F.filter("wider", lambda s: F.lit(False))
+    @F.arrow_udf("array<boolean>")
+    def judged(codes: pa.Array, hashed: pa.Array) -> pa.Array:
+        return pa.array([[probability(weights, c, h) >= ACCEPT for c, h in zip(cs, hs, strict=True)] for cs, hs in zip(codes.to_pylist(), hashed.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+
+    # few documents have wider candidates: only these go to Python
+    some = F.size("wider") > 0
+    verdicts = F.when(some, judged(F.when(some, F.col("wider.code")).otherwise(F.array().cast("array<int>")), F.when(some, F.col("wider.hashed")).otherwise(F.array().cast("array<array<int>>"))))
+    found = found.withColumn("verdicts", verdicts)
+    added = F.filter("wider", lambda s, k: F.coalesce(F.get("verdicts", k), F.lit(False)))
     every = F.array_sort(F.concat("base", F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))))
     return found.select(
         "doc_id",
@@ -295,10 +376,10 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def mask(text: str, fine: frozenset[int]) -> str:
+def mask(text: str, weights: np.ndarray) -> str:
     """The text with each span replaced by its kind in brackets; spans that overlap go as one."""
     base, wider, _ = candidates(text)
-    spans = sorted([*base, *((s, k, e) for s, k, e, code in wider if code in fine)])
+    spans = sorted([*base, *((s, k, e) for s, k, e, code, hashed in wider if probability(weights, code, hashed) >= ACCEPT)])
     if not spans:
         return text
     out, at, k = [], 0, 0
@@ -314,11 +395,11 @@ def mask(text: str, fine: frozenset[int]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with every span masked; count_col, if there is one, becomes the new number of characters. Nulls stay."""
-    fine = frozenset(accepted(find(docs, id_col, text_col)))
+    weights = fit(find(docs, id_col, text_col))
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else mask(t, fine) for t in texts.to_pylist()], pa.string())
+        return pa.array([t if t is None else mask(t, weights) for t in texts.to_pylist()], pa.string())
 
     out = docs.withColumn(text_col, masked(F.col(text_col)))
     if count_col and count_col in docs.columns:

@@ -130,6 +130,68 @@ def test_personal_data(spark):
     assert masked[0]["text"].startswith("mail [EMAIL], [EMAIL]") and masked[5]["text"] is None and masked[0]["n_chars"] == len(masked[0]["text"])
 
 
+def planted_pii(n=1500, seed=21):
+    """(text, wider spans that are personal data) with base spans, written-out forms and decoys among words."""
+    rng = random.Random(seed)
+    words = [f"word{k}" for k in range(400)]
+
+    def card():
+        d = [4, *(rng.randrange(10) for _ in range(14))]
+        d.append(next(x for x in range(10) if pii._luhn("".join(map(str, [*d, x])))))
+        return "".join(map(str, d))
+
+    out = []
+    for _ in range(n):
+        parts, spans = rng.choices(words, k=rng.randint(8, 40)), []
+        c, num = card(), "".join(rng.choices("0123456789", k=16))
+        name, host = rng.choice(words), rng.choice(("example", "mailer", "post")) + rng.choice((".com", ".org", ".de"))
+        kind = rng.choice(("email", "ip", "card", "phone", "wmail", "wip", "wcard", "wphone", "no-card", "no-phone", "no-ip", "none"))
+        before, span = {
+            "email": ("mail", f"{name}@{host}"), "ip": ("server", "10.20.3.44"), "card": ("card", c), "phone": ("call", f"+1 212 555 {rng.randrange(1000, 9999)}"),
+            "wmail": ("mail", f"{name} [at] {host.replace('.', ' [dot] ')}"), "wip": ("server", f"10[.]20[.]3[.]{rng.randrange(256)}"),
+            "wcard": ("card", "/".join(c[i : i + 4] for i in range(0, 16, 4))), "wphone": ("call", f"212-555-{rng.randrange(1000, 9999)}"),
+            "no-card": ("order", ".".join(num[i : i + 4] for i in range(0, 16, 4))), "no-phone": ("serial", f"012-155-{rng.randrange(1000, 9999)}"),
+            "no-ip": ("version", f"{rng.randrange(300, 999)}[.]20[.]3[.]1"), "none": ("plain", "text"),
+        }[kind]
+        text = " ".join([*parts[:5], before]) + " "
+        if kind.startswith("w"):
+            spans.append((len(text), len(text) + len(span), kind))
+        out.append((text + span + " " + " ".join(parts[5:]), spans))
+    return out
+
+
+def test_wider_spans_on_planted_data(spark):
+    rows = planted_pii()
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(docs_of(spark, [t for t, _ in rows])).collect()}
+    hits = wrong = wanted = 0
+    for k, (text, spans) in enumerate(rows):
+        base = {f"{pii.KINDS[a]}:{s}:{e}" for s, a, e in base_by_regex(text)}
+        told = set(got[k].split(",")) - {""}
+        assert base <= told
+        added = {tuple(map(int, x.split(":")[1:])) for x in told - base}
+        want = {(a, b) for a, b, _ in spans}
+        hits, wrong, wanted = hits + len(added & want), wrong + len(added - want), wanted + len(want)
+    assert hits / wanted > 0.9 and wrong / max(1, hits + wrong) < 0.1, (hits, wrong, wanted)
+
+
+def test_personal_data_beyond_former_bounds(spark):
+    many = ".".join(["1.2.3.4"] * 1) + "," + ",".join(["1.2.3.4"] * 70) + " 212-555-0100"
+    base, tried, _ = pii.candidates("a" * 200 + "1.2.3.4-" * 80 + "@x.example.com 212-555-0100")
+    assert not [x for x in tried if any(a < x[2] and x[0] < b for a, _, b in base)]
+    inside = "".join(f"1.2.3.{k % 9}-" for k in range(70)) + "212-555-0100@x.example.com"
+    base, tried, _ = pii.candidates(inside)
+    assert len(base) > 70 and not tried
+    assert pii.candidates(many)[1][0][1] == 3
+    local, label = "b" * 300, "c" * 100
+    assert [x[:3] for x in pii.candidates(f"{local} [at] {label} [dot] com")[1]] == [(0, 0, 300 + 6 + 100 + 10)]
+    pii.candidates("a" * 200_000 + " at b" + ".c" * 50_000 + "1" * 100_000)  # in linear time
+    none = docs_of(spark, ["x"]).where("doc_id < 0")
+    assert pii.redact(none).count() == 0
+    clash = docs_of(spark, ["mail a@b.co", None]).selectExpr("doc_id", "text", "1 AS base", "'x' AS wider", "2 AS verdicts", "3 AS every")
+    got = pii.redact(clash.union(clash)).collect()
+    assert len(got) == 4 and got[0]["text"] == "mail [EMAIL]" and got[0]["wider"] == "x" and pii.digest(clash).count() == 2
+
+
 def toxic_table(spark):
     rng = random.Random(6)
     plain = [f"word{k}" for k in range(300)]
