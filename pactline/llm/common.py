@@ -38,6 +38,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def packed(df: DataFrame, **more) -> DataFrame:
+    """The columns of df as one struct, row, beside others that then cannot clash with them."""
+    return df.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in more.items()))
+
+
+def hot(keys: DataFrame, n: str = "n", share: int = 1000) -> DataFrame:
+    """Of keys with their numbers of rows, those with one of share rows or more: share keys at most, so they may be broadcast."""
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    return keys.where(F.col(n) * share >= total)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b), both long.
 

@@ -9,9 +9,11 @@ Chunks are looked for in all documents: those whose hash stands in more than one
 compared with the first of their kind (smallest id, then place), and go where they are equal. The first stays; a chunk that
 overlaps an equal one of its own document does not count.
 
-Hashes are counted before any text moves, and only documents' repeated passages are shuffled for the comparison. Null
-texts stay null, empty ones empty. Rows that repeat an id and its text are one document and are treated alike; rows with
-a null id keep all they have. Other columns pass through, whatever their names.
+Hashes are counted before any text moves, and only documents' repeated passages are shuffled for the comparison. Places of
+the most frequent chunks meet them by broadcast (there are HOT such chunks at most), and are dealt over blocks of bounded
+size for the comparison. Null texts stay null, empty ones empty. Rows that repeat an id and its text are one document and
+are treated alike; rows with a null id keep all they have. Ids are cast to long. Other columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import cut, hot, packed, scratch
 
 MIN_WORDS = 50
-#: Words of a line below which earlier forms thinned the chunks out; it has no effect on them any more.
-GRAIN = 8
+#: Chunks of this share of all repeated places are broadcast; places of a chunk that one task compares.
+HOT, ROWS_EACH = 1000, 256
 #: Two primes under 2**61, the fields of the rolling hash, with a base each.
 _FIELDS = ((2**61 - 1, 0x9E3779B97F4A7C1), (2**61 - 31, 0x1B873593CC9E2D5))
 
@@ -111,7 +113,9 @@ _SPAN = "id long, tkey long, start int, end int, h1 long, h2 long"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"__id": F.col(id_col).cast("long"), "__tkey": F.xxhash64(F.col(text_col).cast("string"))})
+    """(row, id, tkey, body): the columns as they are, and what names a document's text."""
+    body = F.col(text_col).cast("string")
+    return packed(docs, id=F.col(id_col).cast("long"), tkey=F.xxhash64(body), body=body)
 
 
 def _written(rows: DataFrame, name: str) -> DataFrame:
@@ -134,49 +138,55 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "tkey", "start", "end", "h1", "h2"])
 
-    keyed = _keyed(docs, id_col, text_col).where(F.col("__id").isNotNull())
-    texts = keyed.select(F.col("__id").alias("id"), F.col("__tkey").alias("tkey"), F.col(text_col).cast("string").alias("body"))
+    texts = _keyed(docs, id_col, text_col).where(F.col("id").isNotNull()).select("id", "tkey", "body")
     spans = _written(texts.mapInArrow(cut_up, _SPAN), "line-chunks")
     # a row that repeats an id and its text counts here, but is the same place below
     place = F.struct("id", "tkey", "start")
-    first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    wanted = spans.join(first, ["h1", "h2"])
+    first = cut(spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    often = F.broadcast(hot(first, share=HOT))
+    rare = spans.join(often.select("h1", "h2"), ["h1", "h2"], "left_anti").join(first, ["h1", "h2"])
+    wanted = spans.join(often, ["h1", "h2"]).unionByName(rare)
     is_first = (F.col("id") == F.col("first.id")) & (F.col("tkey") == F.col("first.tkey")) & (F.col("start") == F.col("first.start"))
     by_doc = (
-        wanted.select("id", "tkey", F.struct("start", "end", "h1", "h2", is_first.alias("is_first")).alias("span"))
+        wanted.select("id", "tkey", F.struct("start", "end", "h1", "h2", is_first.alias("is_first"), F.ceil(F.col("n") / F.lit(ROWS_EACH)).cast("int").alias("blocks")).alias("span"))
         .groupBy("id", "tkey")
         .agg(F.collect_set("span").alias("spans"))  # no more than the document has chunks
     )
 
     def slices(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for doc_id, tkey, body, spans_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                told = [(s["start"], s["end"], s["h1"], s["h2"], s["is_first"]) for s in spans_of]
+                told = [(s["start"], s["end"], s["h1"], s["h2"], s["is_first"], s["blocks"]) for s in spans_of]
                 for start, end, *more in [*(t for t in told if t[4]), *covering([t for t in told if not t[4]])]:
                     for col, x in zip(cols, (doc_id, tkey, start, end, *more, body[start:end]), strict=True):
                         col.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-            names = ["id", "tkey", "start", "end", "h1", "h2", "is_first", "part"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
+            names = ["id", "tkey", "start", "end", "h1", "h2", "is_first", "blocks", "part"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    parts = texts.join(by_doc, ["id", "tkey"]).mapInArrow(slices, f"{_SPAN}, is_first boolean, part string")
+    parts = texts.join(by_doc, ["id", "tkey"]).mapInArrow(slices, f"{_SPAN}, is_first boolean, blocks int, part string")
     parts = _written(parts, "line-passages")
-    bytes_of = parts.where("is_first").groupBy("h1", "h2").agg(F.first("part").alias("first_part"))
-    same = parts.where("NOT is_first").join(bytes_of, ["h1", "h2"]).where("part = first_part")
+    # the first of a kind goes to each block of its places
+    bytes_of = parts.where("is_first").groupBy("h1", "h2").agg(F.first("part").alias("first_part"), F.first("blocks").alias("blocks"))
+    bytes_of = bytes_of.select("h1", "h2", "first_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    others = parts.where("NOT is_first").withColumn("block", F.pmod(F.xxhash64("id", "start"), F.col("blocks")).cast("int"))
+    same = others.join(bytes_of, ["h1", "h2", "block"]).where("part = first_part")
     return same.groupBy("id", "tkey").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, count_col: str | None = None) -> DataFrame:
     """docs with text_col less the repeated passages; count_col, if there is one, becomes the new number of characters."""
-    gone = repeated(docs, id_col, text_col, min_words).select(F.col("id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("spans").alias("__spans"))
-    joined = _keyed(docs, id_col, text_col).join(gone, ["__id", "__tkey"], "left")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(_cut_out()(F.when(F.col("__spans").isNotNull(), F.col(text_col)), F.col("__spans")))
-    out = joined.withColumn(text_col, text)
+    gone = repeated(docs, id_col, text_col, min_words)
+    joined = _keyed(docs, id_col, text_col).join(gone, ["id", "tkey"], "left")
+    changed, row = F.col("spans").isNotNull(), F.col("row")
+    text = F.when(changed, _cut_out()(F.when(changed, F.col("body")), F.col("spans")))
+    joined = joined.select("row", "spans", text.alias("rest"))
+    out = {text_col: F.when(changed, F.col("rest")).otherwise(row[text_col])}
     if count_col and count_col in docs.columns:
-        n = F.coalesce(F.length(F.col(text_col)), F.lit(0))
-        out = out.withColumn(count_col, F.when(F.col("__spans").isNull(), F.col(count_col)).otherwise(n).cast(docs.schema[count_col].dataType))
-    return out.select(*docs.columns)
+        n = F.coalesce(F.length("rest"), F.lit(0)).cast(docs.schema[count_col].dataType)
+        out[count_col] = F.when(changed, n).otherwise(row[count_col])
+    return joined.select(*(out.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def _cut_out():

@@ -5,7 +5,12 @@ fingerprint emits itself and its 64 one-bit variants, the variants are shuffled,
 and linked. A variant has 65 possible neighbours, so no bucket can grow with the data.
 
 Null texts count as empty; a text without words has fingerprint zero. Repeated rows share one fingerprint and component.
-A null doc_id takes part but cannot name a component unless the whole component has none. Other columns are ignored.
+A null doc_id takes part but cannot name a component unless the whole component has none. Ids are cast to long. Other
+columns are ignored.
+
+keep_one, a stage on word shingles, takes five words and a Jaccard similarity of 0.8. Two such texts differ in some 7 of 64
+bits, which no radius of two reaches. So it hashes several short fingerprints a text the same way, and verifies candidates
+exactly.
 """
 
 from __future__ import annotations
@@ -16,23 +21,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions
+from .common import components, cut, hot, packed, partitions
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
+#: Of keep_one: words of a shingle, least similarity, 32-bit fingerprints a text; bits of the bitmap of candidates.
+WORDS, LEAST, BANDS, BITMAP = 5, 0.8, 8, 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
     """Unsigned 64-bit SimHash of the word shingles of a whole text."""
-    words = (text or "").encode("utf-8").lower().split()
+    words = words_of(text)
     if not words:
         return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        return digest(b" ".join(words), SEED)
-    hashes = [digest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(SHINGLE)), strict=False)]
+    hashes = shingles(words, SHINGLE)
     total = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(hashes), 65536):
-        part = np.array(hashes[k : k + 65536], dtype="<u8")
+        part = hashes[k : k + 65536]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -69,24 +73,107 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of docs."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     joined = components(links(nodes)).select(F.col("node").alias("fp"), "root")
     of_root = joined.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("root_id"))
-    named = nodes.join(joined.join(of_root, "root"), "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id"))
-    return prints.join(named, "fp", "left").select(
+    named = cut(nodes.join(joined.join(of_root, "root"), "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id"), "n"))
+    # documents of a frequent fingerprint stay where they are: there are few such fingerprints
+    often = F.broadcast(hot(named).drop("n"))
+    rare = prints.join(often.select("fp"), "fp", "left_anti").join(named.drop("n"), "fp", "left")
+    return prints.join(often, "fp").union(rare).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate group: the one whose id names the component.
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8").lower().split()
+
 
-    Rows with a null id cannot be told apart by it and stay. Of rows that repeat the same id one stays.
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included; of all words if they are fewer, of nothing if there are none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(min(size, len(words)))), strict=False)], np.uint64)
+
+
+def wide_print(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A SimHash of bands words of 32 bits each: shingle hashes are mixed anew for every 64 bits."""
+    n = -(-bands // 2)
+    total = np.zeros((n, 64), np.int64)
+    for k in range(0, len(hashes), 16384):
+        part = hashes[k : k + 16384]
+        for j in range(n):
+            x = part + np.uint64((j * 0x9E3779B97F4A7C15) % (1 << 64))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            total[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    bits = np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<i4")
+    return bits.ravel()[:bands]
+
+
+def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, bands: int) -> DataFrame:
+    """(node, is_root): one row per distinct sequence of words; node is its smallest id. Links are verified exactly.
+
+    Two texts are candidates if in one of the bands their fingerprints differ in two bits at most: every band emits itself
+    and its 32 one-bit variants, and texts that meet at a variant are candidates with their neighbours there. Candidates
+    link if the Jaccard similarity of their sets of shingles is at least `least`.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    kept = (
-        groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id")
-    )
-    rows = docs.join(kept, F.col(id_col) == F.col("__id"), "left").where(F.col(id_col).isNull() | F.col("__n").isNotNull())
-    once = rows.where("coalesce(__n, 1) = 1").select(*docs.columns)
-    return once.union(rows.where("__n > 1").select(*docs.columns).dropDuplicates([id_col]))
+    spark = docs.sparkSession
+
+    def run(batches):
+        for batch in batches:
+            keys, prints = [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                prints.append(wide_print(shingles(words, size), bands))
+            flat = pa.array(np.concatenate([np.zeros(0, "<i4"), *prints]), pa.int32())
+            at = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["id", "key", "bands"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).where("id IS NOT NULL")
+    prints = texts.mapInArrow(run, "id long, key binary, bands array<int>")
+    nodes = cut(prints.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("of")).select(F.col("of.id").alias("node"), "of.bands"))
+    masks = ",".join(["0", *(str(1 << i) if i < 31 else "shiftleft(1, 31)" for i in range(32))])
+    # small rows, many times as many below
+    met = nodes.repartition(partitions(spark), F.xxhash64("node")).select("node", F.posexplode("bands").alias("band", "value"))
+    met = met.select("node", F.expr(f"explode(transform(array({masks}), m -> (shiftleft(CAST(band AS BIGINT), 32) | ((value ^ m) & 4294967295L))))").alias("variant"))
+    before = F.lag("node").over(Window.partitionBy("variant").orderBy("node"))
+    pairs = cut(met.select(F.col("node").alias("b"), before.alias("a")).where("a IS NOT NULL").distinct())
+
+    # texts of candidates only: a bitmap of a fixed size rules out most others before they move
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    bitmap = asked.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {BITMAP}L) & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    near = texts.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(bitmap), "word")  # BITMAP / 64 rows at most
+    near = near.where(f"shiftright(bits, CAST(pmod(xxhash64(id), {BITMAP}L) & 63 AS INT)) & 1 = 1").select("id", "body")
+
+    def sets(batches):
+        for batch in batches:
+            got = [np.unique(shingles(words_of(t), size)).view(np.int64) for t in batch.column(1).to_pylist()]
+            at = pa.array(np.cumsum([0, *map(len, got)], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *got])))], ["id", "hashes"])
+
+    # rows that repeat an id are one document: of several texts the first in order is compared
+    near = near.join(asked, "id").groupBy("id").agg(F.min("body").alias("body")).mapInArrow(sets, "id long, hashes array<long>")
+    both = pairs.join(near.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a").join(near.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    linked = both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either")).where((F.col("either") > 0) & (F.col("shared") >= F.lit(least) * F.col("either")))
+    joined = components(linked.select("a", "b"))
+    return nodes.join(joined, "node", "left").select("node", (F.coalesce("root", "node") == F.col("node")).alias("is_root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, least: float = LEAST, bands: int = BANDS) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one of the smallest id.
+
+    Groups are connected by links of Jaccard similarity `least` over shingles of `size` words; equal sequences of words
+    are one text. Texts with fewer words are one shingle; all texts without words are one group. Rows with a null id
+    cannot be told apart by it and stay. Rows that repeat an id are one document: the one whose text has the smallest hash
+    stays for it.
+    """
+    kept = similar(docs, id_col, text_col, size, least, bands).where("is_root").select(F.col("node").alias("id")).distinct()
+    rows = packed(docs, id=F.col(id_col).cast("long"), hash=F.xxhash64(F.col(text_col).cast("string")))
+    once = rows.join(kept, "id").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("hash")))
+    return once.where("place = 1").select("row.*").union(rows.where("id IS NULL").select("row.*"))

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pactline.llm import ann, bpe, embed_dedup, html_text, line_dedup, packing, pii, simhash, token_counts, toxicity
@@ -55,8 +56,52 @@ def test_simhash_against_brute_force(spark):
     assert fps == {k: simhash.fingerprint(t) for k, t in enumerate(texts)} and fps[len(texts) - 6] == 0
     edges = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2]
     assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(roots(len(texts), edges)))
-    docs = docs_of(spark, texts).union(docs_of(spark, texts[:1]))
-    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted({r["component_id"] for r in rows})
+    for t in [*texts, "A\x0bB\x1cC\x85D E", "Ärger ÄRGER ärger x y z", "a b c a b c a b c"]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        parts = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in parts]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_duplicates_of_five_words_against_brute_force(spark):
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(60, 260))
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            new = base[:]
+            for _ in range(rng.randint(1, max(1, len(base) // 60))):
+                new[rng.randrange(len(new))] = rng.choice(words)
+            texts.append(" ".join(new))
+    texts += [texts[0], texts[0].upper(), None, "", " \t", "one", "One", "two words", "x " * 50_000]
+    rng.shuffle(texts)
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    told = [sets(t) for t in texts]
+    n = len(texts)
+    edges = [(a, b) for a in range(n) for b in range(a) if (not told[a] and not told[b]) or (told[a] and len(told[a] & told[b]) >= 0.8 * len(told[a] | told[b]))]
+    root = roots(n, edges)
+    docs = docs_of(spark, texts)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert {k for k in range(n) if root[k] == k} <= kept  # no clean document goes
+    dropped = sum(root[k] != k for k in range(n))
+    assert n - len(kept) >= 0.9 * dropped > 50
+    odd = docs.selectExpr("doc_id", "text", "1 AS __id", "2 AS __n", "3 AS id", "4 AS node", "5 AS hash", "'x' AS row", "6 AS place")
+    odd = odd.union(odd.where("doc_id < 5")).union(odd.where("doc_id = 7").selectExpr("NULL", *odd.columns[1:]))
+    got = simhash.keep_one(odd)
+    assert got.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [*((False, k) for k in sorted(kept)), (True, 0)]
+    assert simhash.keep_one(odd.where("doc_id < 0")).count() == 0
+
+
+def test_simhash_null_ids_and_other_columns(spark):
+    rows = spark.createDataFrame([(None, "a b c", 1, "x"), (4, "a b c", 2, "y"), (None, "q r s t", 3, "z"), (4, "a b c", 2, "y")], "doc_id long, text string, fp int, component_id string")
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_duplicates(rows).collect())
+    assert got == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
 
 
 def vectors(spark, rng):
@@ -402,13 +447,28 @@ def test_line_chunks_against_brute_force(spark):
     assert got[6] == texts[6] and got[7] == texts[7] and run in got[3] and got[4] == texts[4].removeprefix(run + "\n")
 
 
+def test_line_dedup_of_odd_tables(spark):
+    rng = random.Random(14)
+    passage = " ".join(rng.choices([f"v{k}" for k in range(1000)], k=60))
+    texts = [f"head {k}\n{passage}\ntail {k}" for k in range(700)] + ["word " * 200_000, None, ""]
+    docs = docs_of(spark, texts).selectExpr("doc_id", "text", "'MINE' AS __id", "'T' AS __tkey", "1 AS id", "2 AS tkey", "3 AS spans", "4 AS body", "5 AS row", "6 AS block")
+    docs = docs.union(docs.where("doc_id = 3").selectExpr("NULL", *docs.columns[1:]))
+    out = line_dedup.remove(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(r["__id"] == "MINE" and r["spans"] == 3 for r in rows) and len(rows) == 704
+    text = {r["doc_id"]: r["text"] for r in rows if r["doc_id"] is not None}
+    assert text[0] == texts[0] and all(text[k] == f"head {k}\ntail {k}" for k in range(1, 700)) and text[700] == texts[700]
+    assert [r["text"] for r in rows if r["doc_id"] is None] == [texts[3]]  # more blocks than one, and null ids keep all
+
+
 def test_every_passage_of_lines_holds_a_chunk():
     """Wherever it stands: exactly from 50 words on for lines of 8 words or more, with two stretches more for shorter ones."""
     rng = random.Random(9)
     line = lambda n: " ".join(rng.choices([f"v{k}" for k in range(5000)], k=n))
     for longest in (1, 3, 9, 20, 49):
         for _ in range(40):
-            lines, least = [], 50 if longest >= 8 else 50 + 2 * line_dedup.GRAIN
+            lines, least = [], 50 if longest >= 8 else 66
             while sum(len(x.split()) for x in lines) < least:
                 lines.append(line(rng.randint(8, longest) if longest >= 8 else rng.randint(1, longest)))
                 lines += [""] * rng.randint(0, 1)
