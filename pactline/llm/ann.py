@@ -11,7 +11,9 @@ that the nearest axis follows the inner product; a query probes every band. Buck
 bounded size. A query for which fewer than k rows are met, though there are more, is compared with all rows.
 
 Null, zero and non-finite vectors, vectors with null components and rows without an id take no part; vectors of another
-length than the query's are no candidates. Rows that repeat an id count as one. Ties go to the smaller id.
+length than the query's are no candidates. Rows that repeat an id count as one, with the larger of their products; of
+queries that repeat an id the vector that comes first in order asks. Ties go to the smaller id; products that are too large
+for a double are infinite and tie, those without a value count as negative infinity. Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -70,14 +72,19 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
+def log_norm(x: np.ndarray) -> np.ndarray:
+    """Logarithm (base 2) of the rows' lengths, for any finite rows but zero."""
+    top = np.abs(x).max(axis=1)
+    return np.log2(top) + np.log2(np.linalg.norm(x / top[:, None], axis=1))
+
+
 def _lift(x: np.ndarray, band: dict | None) -> np.ndarray:
     """Rows of a band on the unit sphere; one more coordinate where the band's norms differ. band None: queries."""
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    if band is None:
-        return x / norm
-    if not band["lifted"]:
-        return x / norm
-    return np.hstack([x / band["top"], np.sqrt(np.maximum(0.0, 1 - (norm / band["top"]) ** 2))])
+    if band is None or not band["lifted"]:
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.ldexp(x, -band["band"]) / band["top"]
+    return np.hstack([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(axis=1, keepdims=True)))])
 
 
 def _asked(x: np.ndarray, band: dict) -> np.ndarray:
@@ -87,16 +94,19 @@ def _asked(x: np.ndarray, band: dict) -> np.ndarray:
 
 def best(q_ids, q, d_ids, d, k: int):
     """(query number, row number, score) of the k largest exact inner products of each query; its own id is left out."""
-    scores = q @ d.T
-    scores[q_ids[:, None] == d_ids[None, :]] = -np.inf
-    take = min(k, scores.shape[1])
-    floor = np.partition(scores, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
-    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-    i, j = np.nonzero((scores >= (floor - slack)[:, None]) & np.isfinite(scores))
-    exact = np.empty(len(i))
-    for a in range(0, len(i), 1 << 16):  # summed alike for every pair: equal vectors get equal scores
-        exact[a : a + (1 << 16)] = (q[i[a : a + (1 << 16)]] * d[j[a : a + (1 << 16)]]).sum(axis=1)
-    order = np.lexsort((d_ids[j], -exact, i))
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = q @ d.T
+        scores[np.isnan(scores)] = -np.inf
+        own = q_ids[:, None] == d_ids[None, :]
+        ranked = np.where(own, -np.inf, scores)
+        take = min(k, ranked.shape[1])
+        floor = np.partition(ranked, ranked.shape[1] - take, axis=1)[:, ranked.shape[1] - take]
+        slack = np.where(np.isfinite(floor), 1e-9 * (1 + np.abs(floor)), 0.0)
+        i, j = np.nonzero((ranked >= (floor - slack)[:, None]) & ~own)
+        exact = np.empty(len(i))
+        for a in range(0, len(i), 1 << 16):  # summed alike for every pair: equal vectors get equal scores
+            exact[a : a + (1 << 16)] = (q[i[a : a + (1 << 16)]] * d[j[a : a + (1 << 16)]]).sum(axis=1)
+    order = np.lexsort((d_ids[j], -np.where(np.isnan(exact), -np.inf, exact), i))
     i, j, exact = i[order], j[order], exact[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)
     return i[place < k], j[place < k], exact[place < k]
@@ -121,8 +131,8 @@ def _meet(k: int):
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max(F.nanvl("score", F.lit(float("-inf")))).alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -141,7 +151,7 @@ def _sample_neighbours(rows: DataFrame, sample: list, k: int) -> DataFrame:
             yield from out.to_batches()
 
     near = rows.where(F.col("dim") == ask.shape[1]).select("id", "vec").mapInArrow(run, f"{_FOUND}, vec array<double>")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     return near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -157,13 +167,15 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query, itself left out."""
     spark = rows.sparkSession
-    data, asks = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col).dropDuplicates(["id"])
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    data = data.withColumns({"norm": norm}).withColumn("band", F.round(F.log2("norm")).cast("int"))
-    # one row per length and power of two that norms have: at most some 2,000 a length
+    data = usable(rows, id_col, vec_col)
+    asks = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    top = F.array_max(F.transform("vec", F.abs))
+    data = data.withColumn("top", top).withColumn("norm", F.log2("top") + F.log2(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))))
+    data = data.withColumn("band", F.round("norm").cast("int")).withColumn("norm", F.pow(F.lit(2.0), F.col("norm") - F.col("band"))).drop("top")
+    # one row per length and power of two that norms have: at most some 2,100 a length
     bands: dict[int, list[dict]] = {}
     for r in data.groupBy("dim", "band").agg(F.min("norm").alias("low"), F.max("norm").alias("top"), F.count("*").alias("n")).collect():
-        bands.setdefault(r["dim"], []).append({"band": r["band"], "top": r["top"], "n": r["n"], "lifted": r["low"] < 0.999 * r["top"]})
+        bands.setdefault(r["dim"], []).append({"band": r["band"], "top": r["top"] * (1 + 1e-9), "n": r["n"], "lifted": r["low"] < 0.999 * r["top"]})
     drawn = asks.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     probes: dict[int, int] = {}
     for dim in {r["dim"] for r in drawn}:
@@ -176,7 +188,7 @@ def search(
         place = {r["id"]: r["vec"] for r in mine}
         for r in near:
             x = np.array([r["vec"]], float)
-            b = by_band.get(int(np.floor(np.log2(np.linalg.norm(x)) + 0.5)), bands[dim][0])
+            b = by_band.get(int(np.floor(log_norm(x)[0] + 0.5)), bands[dim][0])
             q = _asked(np.array([place[r["query_id"]]], float), b)
             at = []
             for t in range(tables):

@@ -9,7 +9,8 @@ left is reranked by exact cosine in double precision. Lists of any size are deal
 The quantisers are fitted on a bounded sample (SAMPLE rows) and shared; they decide speed only, never which links exist.
 
 Null, zero and non-finite vectors, vectors with null components and rows with a null label link with nothing; vectors of
-different lengths don't link. Repeated rows link with each other. Other columns are ignored.
+different lengths don't link. Repeated rows link with each other. Rows without an id link with nothing. Ids are cast to long.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :])
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no finite row is too large or small."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _means(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     """Lloyd's centres of the rows, started at rows evenly spaced in the given order."""
     centres = x[np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)].copy()
@@ -137,7 +144,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     for dim, n in [(r[0], r[1]) for r in classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count")).collect()]:
         drawn = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").select("vec").limit(SAMPLE)
         x = np.array([r[0] for r in drawn.collect()], float)
-        models[dim] = fit(x / np.linalg.norm(x, axis=1, keepdims=True), int(np.clip(n // LIST_ROWS, 1, MOST_LISTS)))
+        models[dim] = fit(_unit(x), int(np.clip(n // LIST_ROWS, 1, MOST_LISTS)))
     shared = spark.sparkContext.broadcast(models)  # MOST_LISTS + CODES vectors a length at most
 
     def deal(batches):
@@ -145,8 +152,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                x = matrix(part.column("vec"))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(matrix(part.column("vec")))
                 own, codes, error, ask = assign(x, shared.value[int(dim)], radius)
                 who, where = np.nonzero(ask)
                 who, where = np.concatenate([np.arange(len(x)), who]), np.concatenate([own, where])

@@ -1,9 +1,11 @@
 """Token totals by source, language and tokenizer version, maintained by signed deltas.
 
-A ledger is a folder of Parquet batches, batch=<id>. A commit turns events into additive deltas (documents, tokens,
-characters; minus for deletes, the difference for revised counts), sums them by key and writes its batch's folder whole;
-committing the same batch id again replaces it with the same rows, so a retried or repeated commit changes nothing.
-Totals are the sum of all batches. compact() folds old batches into a base under a new version and only then points to it.
+A ledger is a folder of Parquet batches, batches/<id>. A commit turns events into additive deltas (documents, tokens,
+characters; minus for deletes, the difference for revised counts), sums them by key and writes its batch's folder, which
+counts from the moment it is complete. Committing a complete batch again changes nothing, so commits may be retried and
+repeated; one that was cut off is written anew. Totals are the sum of the base and all complete batches. compact() folds
+the batches that are complete when it begins into a new base and then points to it; a commit meanwhile stays a batch of
+its own. Folded batches are deleted after the pointer has moved; their ids are refused from then on.
 
 Null texts count as empty; null source or language is a key of its own. Keys whose documents are all gone leave the
 totals. Other columns are ignored.
@@ -12,6 +14,7 @@ totals. Other columns are ignored.
 from __future__ import annotations
 
 import gc
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -88,55 +91,78 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Batches of additive totals in a folder that all executors share."""
+    """Batches of additive totals in a folder that all executors share. One writer at a time compacts."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _done(self, name: str) -> bool:
+        files, path = self._at(f"{name}/_SUCCESS")
+        return files.exists(path)
+
+    def _names(self, folder: str) -> list[str]:
+        """Complete folders below one, by name. compact() keeps them few."""
+        files, path = self._at(folder)
+        found = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        return sorted(n for n in found if self._done(f"{folder}/{n}"))
+
+    def _base(self) -> str | None:
+        """The folder that the newest pointer names."""
+        newest = max(map(int, self._names("versions")), default=None)
+        return None if newest is None else self.spark.read.parquet(f"{self.path}/versions/{newest}").first()["base"]
+
+    def _folded(self, base: str | None, names: list[str]) -> set[str]:
+        """Which of the names the base holds."""
+        if base is None or not names:
+            return set()
+        return {r[0] for r in self.spark.read.parquet(f"{self.path}/{base}/folded").where(F.col("batch").isin(names)).collect()}
+
     def commit(self, batch: str, deltas: DataFrame) -> None:
-        """Writes the batch's summed deltas; the same batch again replaces itself. Refuses ids that compact() has folded."""
-        if not batch.replace("-", "").replace("_", "").isalnum():
+        """Writes the batch's summed deltas; nothing if it is complete. Raises for a batch that compact() has folded."""
+        if not batch.replace("-", "").replace("_", "").isalnum() or batch.startswith("_"):
             raise ValueError(f"not a batch id: {batch!r}")
-        if batch in self._folded():
-            return
-        sums = deltas.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch}")
-
-    def _read(self, path: str, shape: str) -> DataFrame | None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema(shape).parquet(path) if files.exists(at) else None
-
-    def _base(self) -> tuple[int, DataFrame | None]:
-        told = self._read(f"{self.path}/versions", "version long")
-        newest = told.agg(F.max("version")).first()[0] if told is not None else None
-        if newest is None:
-            return 0, None
-        return newest, self.spark.read.schema(_SHAPE).parquet(f"{self.path}/base-{newest}")
-
-    def _folded(self) -> set[str]:
-        newest, _ = self._base()
-        folded = self._read(f"{self.path}/folded-{newest}", "batch string") if newest else None
-        return {r[0] for r in folded.collect()} if folded is not None else set()
-
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens, n_chars) over the base and every batch that it doesn't hold."""
-        _, base = self._base()
-        batches = self._read(f"{self.path}/batches", f"{_SHAPE}, batch string")
-        if batches is not None:
-            gone = self._folded()
-            batches = (batches.where(~F.col("batch").isin(*gone)) if gone else batches).drop("batch")
-        parts = [x for x in (base, batches) if x is not None] or [self.spark.createDataFrame([], _SHAPE)]
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        if self._folded(self._base(), [batch]):
+            raise ValueError(f"batch {batch!r} is folded into the base")
+        if not self._done(f"batches/{batch}"):
+            sums = deltas.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
+            sums.write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
+
+    def _sum(self, base: str | None, names: list[str]) -> DataFrame:
+        read = self.spark.read.schema(_SHAPE)
+        rows = self.spark.createDataFrame([], _SHAPE)
+        if names:
+            rows = read.parquet(*(f"{self.path}/batches/{n}" for n in names))
+        if base is not None:
+            held = read.parquet(f"{self.path}/{base}/totals")
+            rows = held.unionByName(rows) if names else held
         sums = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         return sums.where("n_docs != 0 OR n_tokens != 0 OR n_chars != 0")
 
+    def _open(self, base: str | None) -> list[str]:
+        names = self._names("batches")
+        folded = self._folded(base, names)
+        return [n for n in names if n not in folded]
+
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens, n_chars) over the base and every complete batch that it doesn't hold."""
+        base = self._base()
+        return self._sum(base, self._open(base))
+
     def compact(self) -> None:
-        """Folds all batches into a new base. Its version is written last: until then the old base holds."""
-        newest, _ = self._base()
-        batches = self._read(f"{self.path}/batches", f"{_SHAPE}, batch string")
-        names = sorted({r[0] for r in batches.select("batch").distinct().collect()} if batches is not None else set())
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/base-{newest + 1}")
-        self.spark.createDataFrame([(n,) for n in names], "batch string").write.mode("overwrite").parquet(f"{self.path}/folded-{newest + 1}")
-        self.spark.createDataFrame([(newest + 1,)], "version long").write.mode("append").parquet(f"{self.path}/versions")
+        """Folds the batches that are complete now into a new base."""
+        base, number = self._base(), max(map(int, self._names("versions")), default=0) + 1
+        names, new = self._open(base), f"base-{number}-{uuid.uuid4().hex}"
+        self._sum(base, names).write.parquet(f"{self.path}/{new}/totals")
+        folded = self.spark.createDataFrame([(n,) for n in names], "batch string")
+        if base is not None:
+            folded = folded.union(self.spark.read.parquet(f"{self.path}/{base}/folded"))
+        folded.write.parquet(f"{self.path}/{new}/folded")
+        # the pointer: a folder that another compaction cannot also write
+        self.spark.createDataFrame([(new,)], "base string").coalesce(1).write.parquet(f"{self.path}/versions/{number}")
+        for name in [*(f"batches/{n}" for n in names), *([base] if base else [])]:
+            files, path = self._at(name)
+            files.delete(path, True)

@@ -148,6 +148,25 @@ def test_nearest_neighbours_recall_and_order(spark):
     assert ann.search(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_of_extreme_lengths_and_odd_rows(spark):
+    rows = [(1, [1e200, 1.0], 0), (2, [2e200, 1.0], 0), (3, [-1e200, 3.0], 0), (4, [1e-200, 1e-200], 0), (5, [3e-200, 3e-200], 0), (6, [1.7e308, 1.7e308], 0), (7, [5e-324, 0.0], 0), (20, [1.0, 1.0], 0)]
+    odd = [(None, [1.0, 1.0], 0), (20, [1.0, 1.0], 0), (4, [1e-200, 1e-200], 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS id", "2 AS dim", "3 AS vec", "4 AS norm", "5 AS band", "6 AS many")
+    got = {}
+    for r in embed_dedup.near_duplicates(df).collect():
+        got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"]))
+    assert {k: v[0] for k, v in got.items() if k} == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (5, 4), 5: (5, 4), 6: (5, 4), 7: (2, 1), 20: (5, 4)}
+    assert len(got[20]) == len(got[4]) == 2 and got[None] == [(0, None)]
+    found = {}
+    for r in ann.search(df, df).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = {k: np.array(v) for k, v, _ in rows}
+    for k in x:
+        with np.errstate(over="ignore", invalid="ignore"):
+            want = sorted((-np.nan_to_num((x[k] * x[j]).sum(), nan=-np.inf, posinf=np.inf, neginf=-np.inf), j) for j in x if j != k)
+        assert [(v, s) for _, v, s in sorted(found[k])] == [(j, -s) for s, j in want]
+
+
 PII = ["mail a.b@x.example.com, c@d.e@f.g", "1.2.3.4 999.1.1.1 1.2.3.4.5", "4111 1111 1111 1111 and 4111111111111112", "+1 (555) 123-4567. +12", "", None, "@@ a@b @c.d x@y..z q@r.s.", "0" * 5000, "a" * 30000 + "@x.yz"]
 
 
@@ -416,11 +435,42 @@ def test_token_ledger(spark, tmp_path):
     gone, new = docs.where("doc_id = 0"), docs_of(spark, ["a new text"], 3)
     ledger.commit("b2", token_counts.deletes(count(gone)).union(token_counts.revisions(count(docs.where("doc_id = 3")), count(new))))
     want = total - sum(len(library.encode_ordinary(TEXTS[k])) for k in (0, 3)) + len(library.encode_ordinary("a new text"))
-    for step in (lambda: None, ledger.compact, lambda: ledger.commit("b2", token_counts.inserts(count(docs)))):
-        step()
-        assert [(r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()] == [(len(TEXTS) - 1, want)]
+
+    def told():
+        return [(r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()]
+
+    assert told() == [(len(TEXTS) - 1, want)]
+    ledger.commit("b2", token_counts.inserts(count(docs)))  # complete: nothing happens
+    assert told() == [(len(TEXTS) - 1, want)]
+    # a commit while compact() runs is neither lost nor counted twice
+    sums, meanwhile = ledger._sum, token_counts.inserts(count(new))
+
+    def late(base, names):
+        ledger._sum = sums
+        out = sums(base, names)
+        ledger.commit("late", meanwhile)
+        return out
+
+    ledger._sum = late
+    ledger.compact()
+    more = want + len(library.encode_ordinary("a new text"))
+    assert told() == [(len(TEXTS), more)] and ledger._names("batches") == ["late"]
+    for batch in ("load", "b2"):
+        with pytest.raises(ValueError, match="folded"):
+            ledger.commit(batch, token_counts.inserts(count(docs)))
+    (tmp_path / "ledger" / "batches" / "cut-off").mkdir()  # a commit that ended half-way
+    assert told() == [(len(TEXTS), more)]
+    ledger.compact()
+    assert told() == [(len(TEXTS), more)] and ledger._names("batches") == []
+    with pytest.raises(ValueError):
+        ledger.commit("late", meanwhile)
     ledger.commit("b3", token_counts.deletes(ledger.totals()))
     assert ledger.totals().count() == 0
+    keys = docs.selectExpr("text", "CAST(NULL AS STRING) AS source", "CAST(NULL AS STRING) AS lang", "1 AS n_docs", "2 AS tokenizer")
+    own = token_counts.Ledger(spark, str(tmp_path / "nulls"))
+    own.commit("a", token_counts.inserts(count(keys)))
+    own.commit("none", token_counts.inserts(count(keys.where("false"))))
+    assert [(r["source"], r["lang"], r["n_tokens"]) for r in own.totals().collect()] == [(None, None, total)]
 
 
 def test_line_chunks_against_brute_force(spark):
