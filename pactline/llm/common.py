@@ -43,6 +43,35 @@ def packed(df: DataFrame, **more) -> DataFrame:
     return df.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in more.items()))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df from a table in the shared folder: computed once, and its columns take less room than a checkpoint's rows."""
+    folder = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+#: Bits of a bitmap: 1 MB in all, so that it may be broadcast whatever it stands for.
+BITMAP = 1 << 23
+
+
+def _bit(cols: Sequence[str]):
+    return F.pmod(F.xxhash64(*cols), F.lit(BITMAP))
+
+
+def bitmap(keys: DataFrame, *cols: str) -> DataFrame:
+    """(word, bits): a hash bitmap of the keys, BITMAP / 64 rows at most."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))
+    return stored(keys.select(_bit(cols).alias("bit")).select(F.shiftright("bit", 6).alias("word"), one.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).coalesce(1), "bitmap")
+
+
+def marked(rows: DataFrame, of: DataFrame, *cols: str) -> DataFrame:
+    """rows with maybe: false only where their key surely is none of a bitmap's. It rules rows out before they move; a full
+    bitmap rules out none, which costs time only."""
+    told = rows.withColumn("bit", _bit(cols)).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(of), "word", "left")
+    there = F.call_function("shiftright", F.col("bits"), F.col("bit").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    return told.select(*rows.columns, F.coalesce(there, F.lit(False)).alias("maybe"))
+
+
 def hot(keys: DataFrame, n: str = "n", share: int = 1000) -> DataFrame:
     """Of keys with their numbers of rows, those with one of share rows or more: share keys at most, so they may be broadcast."""
     total = keys.agg(F.sum(n)).first()[0] or 0

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot, packed, scratch
+from .common import bitmap, hot, marked, packed, stored
 
 MIN_WORDS = 50
 #: Chunks of this share of all repeated places are broadcast; places of a chunk that one task compares.
@@ -109,84 +109,85 @@ def _without(text: str, gone: list[tuple[int, int]]) -> str:
     return out[:-1] if at >= len(text) and out.endswith("\n") and gone else out
 
 
-_SPAN = "id long, tkey long, start int, end int, h1 long, h2 long"
+_SPAN = "id long, tkey long, start int, end int, h long"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, tkey, body): the columns as they are, and what names a document's text."""
+    """(row, id, tkey, body): the columns as they are, and what names a document's text. The text is in row as well."""
     body = F.col(text_col).cast("string")
     return packed(docs, id=F.col(id_col).cast("long"), tkey=F.xxhash64(body), body=body)
 
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    """rows from a table in the shared folder: its columns take less room than a checkpoint's rows."""
-    folder = scratch(rows.sparkSession, name)
-    rows.write.option("compression", "zstd").parquet(folder)
-    return rows.sparkSession.read.parquet(folder)
-
-
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, tkey, spans array<struct<start, end>>): per document (id and hash of its text) the chunks that go."""
 
     def cut_up(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
             for doc_id, tkey, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for chunk in chunks(text or "", min_words):
-                    for col, x in zip(cols, (doc_id, tkey, *chunk), strict=True):
+                for start, end, h1, h2 in chunks(text or "", min_words):
+                    h = (h1 * 0x9E3779B97F4A7C15 + h2) % 2**64
+                    for col, x in zip(cols, (doc_id, tkey, start, end, h - 2**64 if h >= 2**63 else h), strict=True):
                         col.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "tkey", "start", "end", "h1", "h2"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "tkey", "start", "end", "h"])
 
     texts = _keyed(docs, id_col, text_col).where(F.col("id").isNotNull()).select("id", "tkey", "body")
-    spans = _written(texts.mapInArrow(cut_up, _SPAN), "line-chunks")
+    spans = stored(texts.mapInArrow(cut_up, _SPAN), "line-chunks")
+    # most hashes stand in one place: they are counted by themselves, and their rows then stay where they are
+    twice = bitmap(spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h")
+    spans = marked(spans, twice, "h").where("maybe").drop("maybe")
     # a row that repeats an id and its text counts here, but is the same place below
     place = F.struct("id", "tkey", "start")
-    first = cut(spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    first = stored(spans.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
     often = F.broadcast(hot(first, share=HOT))
-    rare = spans.join(often.select("h1", "h2"), ["h1", "h2"], "left_anti").join(first, ["h1", "h2"])
-    wanted = spans.join(often, ["h1", "h2"]).unionByName(rare)
+    rare = spans.join(often.select("h"), "h", "left_anti").join(first, "h")
+    wanted = spans.join(often, "h").unionByName(rare)
     is_first = (F.col("id") == F.col("first.id")) & (F.col("tkey") == F.col("first.tkey")) & (F.col("start") == F.col("first.start"))
-    by_doc = (
-        wanted.select("id", "tkey", F.struct("start", "end", "h1", "h2", is_first.alias("is_first"), F.ceil(F.col("n") / F.lit(ROWS_EACH)).cast("int").alias("blocks")).alias("span"))
+    by_doc = stored(
+        wanted.select("id", "tkey", F.struct("start", "end", "h", is_first.alias("is_first"), F.ceil(F.col("n") / F.lit(ROWS_EACH)).cast("int").alias("blocks")).alias("span"))
         .groupBy("id", "tkey")
-        .agg(F.collect_set("span").alias("spans"))  # no more than the document has chunks
+        .agg(F.collect_set("span").alias("spans")),  # no more than the document has chunks
+        "line-documents",
     )
 
     def slices(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(8)]
             for doc_id, tkey, body, spans_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                told = [(s["start"], s["end"], s["h1"], s["h2"], s["is_first"], s["blocks"]) for s in spans_of]
-                for start, end, *more in [*(t for t in told if t[4]), *covering([t for t in told if not t[4]])]:
+                told = [(s["start"], s["end"], s["h"], s["is_first"], s["blocks"]) for s in spans_of]
+                for start, end, *more in [*(t for t in told if t[3]), *covering([t for t in told if not t[3]])]:
                     for col, x in zip(cols, (doc_id, tkey, start, end, *more, body[start:end]), strict=True):
                         col.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
-            names = ["id", "tkey", "start", "end", "h1", "h2", "is_first", "blocks", "part"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
+            names = ["id", "tkey", "start", "end", "h", "is_first", "blocks", "part"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    parts = texts.join(by_doc, ["id", "tkey"]).mapInArrow(slices, f"{_SPAN}, is_first boolean, blocks int, part string")
-    parts = _written(parts, "line-passages")
+    some = marked(texts, bitmap(by_doc, "id", "tkey"), "id", "tkey").where("maybe").drop("maybe")
+    parts = some.join(by_doc, ["id", "tkey"]).mapInArrow(slices, f"{_SPAN}, is_first boolean, blocks int, part string")
+    parts = stored(parts, "line-passages")
     # the first of a kind goes to each block of its places
-    bytes_of = parts.where("is_first").groupBy("h1", "h2").agg(F.first("part").alias("first_part"), F.first("blocks").alias("blocks"))
-    bytes_of = bytes_of.select("h1", "h2", "first_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    bytes_of = parts.where("is_first").groupBy("h").agg(F.first("part").alias("first_part"), F.first("blocks").alias("blocks"))
+    bytes_of = bytes_of.select("h", "first_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     others = parts.where("NOT is_first").withColumn("block", F.pmod(F.xxhash64("id", "start"), F.col("blocks")).cast("int"))
-    same = others.join(bytes_of, ["h1", "h2", "block"]).where("part = first_part")
+    same = others.join(bytes_of, ["h", "block"]).where("part = first_part")
     return same.groupBy("id", "tkey").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, count_col: str | None = None) -> DataFrame:
     """docs with text_col less the repeated passages; count_col, if there is one, becomes the new number of characters."""
-    gone = repeated(docs, id_col, text_col, min_words)
-    joined = _keyed(docs, id_col, text_col).join(gone, ["id", "tkey"], "left")
+    gone = stored(repeated(docs, id_col, text_col, min_words), "line-gone")
+    rows = marked(_keyed(docs, id_col, text_col), bitmap(gone, "id", "tkey"), "id", "tkey")
+    touched = rows.where("maybe").join(gone, ["id", "tkey"], "left")
     changed, row = F.col("spans").isNotNull(), F.col("row")
     text = F.when(changed, _cut_out()(F.when(changed, F.col("body")), F.col("spans")))
-    joined = joined.select("row", "spans", text.alias("rest"))
+    touched = touched.select("row", "spans", text.alias("rest"))
     out = {text_col: F.when(changed, F.col("rest")).otherwise(row[text_col])}
     if count_col and count_col in docs.columns:
         n = F.coalesce(F.length("rest"), F.lit(0)).cast(docs.schema[count_col].dataType)
         out[count_col] = F.when(changed, n).otherwise(row[count_col])
-    return joined.select(*(out.get(c, row[c]).alias(c) for c in docs.columns))
+    touched = touched.select(*(out.get(c, row[c]).alias(c) for c in docs.columns))
+    return rows.where("NOT maybe").select("row.*").union(touched)
 
 
 def _cut_out():
