@@ -22,6 +22,7 @@ import ipaddress
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -336,12 +337,20 @@ def fit(found: DataFrame) -> np.ndarray:
     each = found.select(F.explode("every").alias("c"))
     counts = {r["code"]: r["count"] for r in each.groupBy("c.code").count().collect()}  # 8 x 3^6 patterns at most
     likely = estimate(counts)
-    rows = []
-    for match in range(2 * len(KINDS)):
-        mine = sorted(c for c in counts if c // 3**LABELERS == match)
-        if mine:
-            drawn = each.where(F.col("c.code").between(mine[0], mine[-1])).orderBy("c.draw", "c.code").limit(SAMPLE)
-            rows += [(r["code"], list(r["hashed"])) for r in drawn.select("c.code", "c.hashed").collect()]
+    # a kind's threshold lets somewhat more than SAMPLE of its hashes through; the smallest SAMPLE of these are taken
+    wanted, size = F.lit(False), Counter()
+    for code, n in counts.items():
+        size[code // 3**LABELERS] += n
+    for match, n in size.items():
+        share = min(1.0, (SAMPLE + 6 * SAMPLE**0.5) / n)
+        wanted = wanted | (F.col("c.code").between(match * 3**LABELERS, (match + 1) * 3**LABELERS - 1) & (F.col("c.draw") <= int(share * 2**32)))
+    drawn = each.where(wanted).select("c.*").groupBy("code", "draw").agg(F.min("hashed").alias("hashed")).collect()
+    rows, taken = [], Counter()
+    for r in sorted(drawn, key=lambda r: (r["draw"], r["code"])):
+        match = r["code"] // 3**LABELERS
+        if taken[match] < SAMPLE:
+            taken[match] += 1
+            rows.append((r["code"], list(r["hashed"])))
     return train(rows, likely)
 
 
