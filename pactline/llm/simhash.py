@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, hot, packed, partitions
+from .common import bitmap, components, cut, hot, marked, packed, partitions, stored
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
-#: Of keep_one: words of a shingle, least similarity, 32-bit fingerprints a text; bits of the bitmap of candidates.
-WORDS, LEAST, BANDS, BITMAP = 5, 0.8, 8, 1 << 20
+#: Of keep_one: words of a shingle, least similarity, 32-bit fingerprints a text.
+WORDS, LEAST, BANDS = 5, 0.8, 8
 
 
 def fingerprint(text: str | None) -> int:
@@ -113,12 +113,12 @@ def wide_print(hashes: np.ndarray, bands: int) -> np.ndarray:
     return bits.ravel()[:bands]
 
 
-def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, bands: int) -> DataFrame:
-    """(node, is_root): one row per distinct sequence of words; node is its smallest id. Links are verified exactly.
+def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, bands: int) -> tuple[DataFrame, DataFrame]:
+    """(ids that name a group, ids that do not or are repeated). A text's id is the smallest of its words' sequence.
 
     Two texts are candidates if in one of the bands their fingerprints differ in two bits at most: every band emits itself
     and its 32 one-bit variants, and texts that meet at a variant are candidates with their neighbours there. Candidates
-    link if the Jaccard similarity of their sets of shingles is at least `least`.
+    link if the exact Jaccard similarity of their sets of shingles is at least `least`.
     """
     spark = docs.sparkSession
 
@@ -134,7 +134,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["id", "key", "bands"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).where("id IS NOT NULL")
-    prints = texts.mapInArrow(run, "id long, key binary, bands array<int>")
+    prints = stored(texts.mapInArrow(run, "id long, key binary, bands array<int>"), "prints")
     nodes = cut(prints.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("of")).select(F.col("of.id").alias("node"), "of.bands"))
     masks = ",".join(["0", *(str(1 << i) if i < 31 else "shiftleft(1, 31)" for i in range(32))])
     # small rows, many times as many below
@@ -143,12 +143,9 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float
     before = F.lag("node").over(Window.partitionBy("variant").orderBy("node"))
     pairs = cut(met.select(F.col("node").alias("b"), before.alias("a")).where("a IS NOT NULL").distinct())
 
-    # texts of candidates only: a bitmap of a fixed size rules out most others before they move
+    # texts of candidates only
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    bitmap = asked.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {BITMAP}L) & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    near = texts.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(bitmap), "word")  # BITMAP / 64 rows at most
-    near = near.where(f"shiftright(bits, CAST(pmod(xxhash64(id), {BITMAP}L) & 63 AS INT)) & 1 = 1").select("id", "body")
+    near = marked(texts, bitmap(asked, "id"), "id").where("maybe").drop("maybe")
 
     def sets(batches):
         for batch in batches:
@@ -162,7 +159,10 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float
     shared = F.size(F.array_intersect("of_a", "of_b"))
     linked = both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either")).where((F.col("either") > 0) & (F.col("shared") >= F.lit(least) * F.col("either")))
     joined = components(linked.select("a", "b"))
-    return nodes.join(joined, "node", "left").select("node", (F.coalesce("root", "node") == F.col("node")).alias("is_root"))
+    kept = nodes.join(joined, "node", "left").where("coalesce(root, node) = node").select(F.col("node").alias("id")).distinct()
+    # ids whose rows are not the only one of a kept text
+    doubtful = prints.groupBy("id").agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), "id", "left").where("n > 1 OR kept IS NULL").select("id")
+    return kept, doubtful
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, least: float = LEAST, bands: int = BANDS) -> DataFrame:
@@ -173,7 +173,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     cannot be told apart by it and stay. Rows that repeat an id are one document: the one whose text has the smallest hash
     stays for it.
     """
-    kept = similar(docs, id_col, text_col, size, least, bands).where("is_root").select(F.col("node").alias("id")).distinct()
+    kept, doubtful = similar(docs, id_col, text_col, size, least, bands)
     rows = packed(docs, id=F.col(id_col).cast("long"), hash=F.xxhash64(F.col(text_col).cast("string")))
-    once = rows.join(kept, "id").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("hash")))
-    return once.where("place = 1").select("row.*").union(rows.where("id IS NULL").select("row.*"))
+    rows = marked(rows, bitmap(doubtful, "id"), "id")
+    plain = rows.where("NOT maybe OR id IS NULL").select("row.*")  # these stay, and need not move
+    asked = rows.where("maybe AND id IS NOT NULL").join(kept, "id").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("hash")))
+    return plain.union(asked.where("place = 1").select("row.*"))
