@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import partitions, scratch
+from .common import partitions, scratch, slices
 
 BLOCK_CHARS, BLOCK_DOCS, CACHE, MOST_BUCKETS, DECODE_ROWS = 10_000_000, 50_000, 300_000, 4096, 256
 #: Two white space characters in a row: only there a pre-token's extent depends on what follows its chunk.
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         cutter, serial = Words(pattern), 0
         part = TaskContext.get().partitionId()
         block = _Block(cutter)
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 block.add(doc_id.as_py(), text.as_py() or "")
                 if block.chars >= BLOCK_CHARS or len(block.ids) >= BLOCK_DOCS:
@@ -265,9 +265,8 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
 
     def run(batches):
         table = byte_table(vocabulary.value)
-        for batch in batches:
-            for k in range(0, batch.num_rows, DECODE_ROWS):
-                part = batch.slice(k, DECODE_ROWS)
+        for part in slices(batches, DECODE_ROWS):
+            if part.num_rows:
                 column = part.column(ids_col)
                 joined = table.take(column.flatten())  # a row per id: their bytes lie one after another
                 if joined.null_count:
@@ -276,6 +275,6 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
                 size = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1, 4 * joined.offset) if len(joined) else np.zeros(1, np.int32)
                 raw = memoryview(joined.buffers()[2] or b"")
                 out = [bytes(raw[a:b]) for a, b in zip(size[ends[:-1]].tolist(), size[ends[1:]].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("decoded", BinaryType())]))

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .common import slices
+
 SIGMA, HALF, CORE = 1.0, 0.5, 0.9
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -253,7 +255,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     shape = StructType([*source.schema.fields[1:], StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h) for h in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*kept, "text", "n_chars"]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, hot, marked, packed, stored
+from .common import bitmap, each, hot, marked, packed, slices, stored
 
 MIN_WORDS = 50
 #: Chunks of this share of all repeated places are broadcast; places of a chunk that one task compares.
@@ -122,7 +122,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """(id, tkey, spans array<struct<start, end>>): per document (id and hash of its text) the chunks that go."""
 
     def cut_up(batches):
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(5)]
             for doc_id, tkey, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for start, end, h1, h2 in chunks(text or "", min_words):
@@ -151,8 +151,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         "line-documents",
     )
 
-    def slices(batches):
-        for batch in batches:
+    def passages(batches):
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(8)]
             for doc_id, tkey, body, spans_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 told = [(s["start"], s["end"], s["h"], s["is_first"], s["blocks"]) for s in spans_of]
@@ -164,7 +164,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     some = marked(texts, bitmap(by_doc, "id", "tkey"), "id", "tkey").where("maybe").drop("maybe")
-    parts = some.join(by_doc, ["id", "tkey"]).mapInArrow(slices, f"{_SPAN}, is_first boolean, blocks int, part string")
+    parts = some.join(by_doc, ["id", "tkey"]).mapInArrow(passages, f"{_SPAN}, is_first boolean, blocks int, part string")
     parts = stored(parts, "line-passages")
     # the first of a kind goes to each block of its places
     bytes_of = parts.where("is_first").groupBy("h").agg(F.first("part").alias("first_part"), F.first("blocks").alias("blocks"))
@@ -194,7 +194,7 @@ def _cut_out():
     @F.arrow_udf("string")
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array(
-            [t if not s else _without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string()
+            [t if not s else _without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(each(texts), each(spans), strict=True)], pa.string()
         )
 
     return run

@@ -10,7 +10,6 @@ Null and empty texts have the end token only. Repeated rows are packed once each
 
 from __future__ import annotations
 
-import gc
 import json
 import struct
 import unicodedata
@@ -25,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-TOP, END, CACHE = 4096, 2, 1_000_000
+from .common import slices
+
+TOP, END, CACHE = 4096, 2, 250_000
 _ODD = "\x1c\x1d\x1e\x1f"
 _WORD_END = b"\xff"  # never a byte of UTF-8
 
@@ -112,9 +113,14 @@ def pack(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: s
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids
 
     def run(batches):
-        gc.disable()
         words, mark = codec(shared.value), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        try:
+            yield from cut_up(batches, words, mark)
+        finally:
+            words.clear()  # the worker and its codec outlive the task; what it looked up need not
+
+    def cut_up(batches, words, mark):
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = words.ids(text or "") + mark

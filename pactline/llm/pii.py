@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, each, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT, BEFORE, SAMPLE, HASHED = 0.9, 48, 4000, 2048
@@ -316,7 +316,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             base, wider, every = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sure, tried, all_of = candidates(text)
@@ -334,8 +334,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def fit(found: DataFrame) -> np.ndarray:
     """The span classifier's weights: votes of all candidates, estimated likelihoods, a sample with features."""
-    each = found.select(F.explode("every").alias("c"))
-    counts = {r["code"]: r["count"] for r in each.groupBy("c.code").count().collect()}  # 8 x 3^6 patterns at most
+    every = found.select(F.explode("every").alias("c"))
+    counts = {r["code"]: r["count"] for r in every.groupBy("c.code").count().collect()}  # 8 x 3^6 patterns at most
     likely = estimate(counts)
     # a kind's threshold lets somewhat more than SAMPLE of its hashes through; the smallest SAMPLE of these are taken
     wanted, size = F.lit(False), Counter()
@@ -344,7 +344,7 @@ def fit(found: DataFrame) -> np.ndarray:
     for match, n in size.items():
         share = min(1.0, (SAMPLE + 6 * SAMPLE**0.5) / n)
         wanted = wanted | (F.col("c.code").between(match * 3**LABELERS, (match + 1) * 3**LABELERS - 1) & (F.col("c.draw") <= int(share * 2**32)))
-    drawn = each.where(wanted).select("c.*").groupBy("code", "draw").agg(F.min("hashed").alias("hashed")).collect()
+    drawn = every.where(wanted).select("c.*").groupBy("code", "draw").agg(F.min("hashed").alias("hashed")).collect()
     rows, taken = [], Counter()
     for r in sorted(drawn, key=lambda r: (r["draw"], r["code"])):
         match = r["code"] // 3**LABELERS
@@ -408,7 +408,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else mask(t, weights) for t in texts.to_pylist()], pa.string())
+        return pa.array([t if t is None else mask(t, weights) for t in each(texts)], pa.string())
 
     out = docs.withColumn(text_col, masked(F.col(text_col)))
     if count_col and count_col in docs.columns:

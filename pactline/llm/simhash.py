@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, cut, hot, marked, packed, partitions, stored
+from .common import bitmap, components, cut, hot, marked, packed, partitions, slices, stored
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Of keep_one: words of a shingle, least similarity, 32-bit fingerprints a text.
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id long, fp long): the fingerprint of every row, as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
@@ -123,7 +123,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float
     spark = docs.sparkSession
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys, prints = [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -148,7 +148,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float
     near = marked(texts, bitmap(asked, "id"), "id").where("maybe").drop("maybe")
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [np.unique(shingles(words_of(t), size)).view(np.int64) for t in batch.column(1).to_pylist()]
             at = pa.array(np.cumsum([0, *map(len, got)], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *got])))], ["id", "hashes"])

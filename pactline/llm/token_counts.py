@@ -13,7 +13,6 @@ totals. Other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CACHE, Words, codec
+from .common import slices
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
@@ -56,9 +56,8 @@ def count_tokens(docs: DataFrame, ranks: bytes, pattern: str, version: str, text
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        gc.disable()
         counts = _Counts(Words(pattern), codec(shared.value, pattern)._core_bpe.encode_single_piece)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             n = len(texts)
             yield pa.RecordBatch.from_arrays(

@@ -30,10 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 MOST_EXAMPLES, NEIGHBOURS, BLOCK, FIRST_BLOCKS, BATCH, THRESHOLD, FOLDS, HELD_OUT = 1500, 15, 16, 6, 64, 0.3, 4, 2
-STEM, CACHE = 4, 400_000
+STEM, CACHE = 4, 100_000
 _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
 
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = spark.createDataFrame([tuple(r) for d in drawn for r in d.collect()], "id long, toxic int")  # 2 x most rows
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [term_counts(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))],
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def rows_with(batches):
         tokens, n, rows = _Terms({t: k for k, t in enumerate(shared.value)}), np.zeros(len(shared.value), np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
                 n[tokens.of(text)[0]] += 1
@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         model = shared.value
         of = _scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             got = list(of(batch.column(1).to_pylist()))
             scores, evidence = [g[0] for g in got], [_evidence(model, g[1]) for g in got]
             yield pa.RecordBatch.from_arrays(
@@ -301,6 +301,6 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         run = _scorer(shared.value)
-        return pa.array([got[0] for got in run(texts.to_pylist())], pa.float64())
+        return pa.array([got[0] for k in range(0, len(texts), 512) for got in run(texts.slice(k, 512).to_pylist())], pa.float64())
 
     return docs.where(of(F.col(text_col).cast("string")) < threshold)
