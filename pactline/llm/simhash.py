@@ -8,9 +8,9 @@ Null texts count as empty; a text without words has fingerprint zero. Repeated r
 A null doc_id takes part but cannot name a component unless the whole component has none. Ids are cast to long. Other
 columns are ignored.
 
-keep_one, a stage on word shingles, takes five words and a Jaccard similarity of 0.8. Two such texts differ in some 7 of 64
-bits, which no radius of two reaches. So it hashes several short fingerprints a text the same way, and verifies candidates
-exactly.
+keep_one, a stage on word shingles, takes five words and a Jaccard similarity of 0.8. Two such texts differ in some 5 of 64
+bits, which no radius of two reaches surely. So it takes several fingerprints of 32 bits a text, of three-word shingles as
+above, hashes each the same way, and compares the candidates' sets of five-word shingles (their 32-bit hashes).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import bitmap, components, cut, hot, marked, packed, partitions, sl
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Of keep_one: words of a shingle, least similarity, 32-bit fingerprints a text.
-WORDS, LEAST, BANDS = 5, 0.8, 8
+WORDS, LEAST, BANDS = 5, 0.8, 4
 
 
 def fingerprint(text: str | None) -> int:
@@ -118,7 +118,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float
 
     Two texts are candidates if in one of the bands their fingerprints differ in two bits at most: every band emits itself
     and its 32 one-bit variants, and texts that meet at a variant are candidates with their neighbours there. Candidates
-    link if the exact Jaccard similarity of their sets of shingles is at least `least`.
+    link if the Jaccard similarity of their sets of shingles is at least `least`.
     """
     spark = docs.sparkSession
 
@@ -128,7 +128,7 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                prints.append(wide_print(shingles(words, size), bands))
+                prints.append(wide_print(shingles(words, SHINGLE), bands))
             flat = pa.array(np.concatenate([np.zeros(0, "<i4"), *prints]), pa.int32())
             at = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["id", "key", "bands"])
@@ -149,12 +149,12 @@ def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float
 
     def sets(batches):
         for batch in slices(batches):
-            got = [np.unique(shingles(words_of(t), size)).view(np.int64) for t in batch.column(1).to_pylist()]
+            got = [np.unique(shingles(words_of(t), size).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
             at = pa.array(np.cumsum([0, *map(len, got)], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *got])))], ["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *got])))], ["id", "hashes"])
 
     # rows that repeat an id are one document: of several texts the first in order is compared
-    near = near.join(asked, "id").groupBy("id").agg(F.min("body").alias("body")).mapInArrow(sets, "id long, hashes array<long>")
+    near = near.join(asked, "id").groupBy("id").agg(F.min("body").alias("body")).mapInArrow(sets, "id long, hashes array<int>")
     both = pairs.join(near.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a").join(near.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     linked = both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either")).where((F.col("either") > 0) & (F.col("shared") >= F.lit(least) * F.col("either")))
