@@ -1,4 +1,4 @@
-"""check: validates and repairs one payload file. Exit 0: valid or repaired; 1: not; 2: bad input; 3: ambiguous."""
+"""check: validates and repairs one payload file. Exit 0: valid or repaired; 1: in part; 2: failed, or bad input; 3: ambiguous."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import argparse
 import json
 import sys
 
-from .contract import Config, parse_contract
+from .contract import VERSION, Config, parse_contract
 from .operators.guard import told
 from .operators.repair import policy_of, repair
 
-EXITS = {"already_valid": 0, "success": 0, "partial": 1, "failed": 1, "ambiguous": 3}
+EXITS = {"already_valid": 0, "success": 0, "partial": 1, "failed": 2, "ambiguous": 3}
 
 
 def _load(path: str):
@@ -32,6 +32,7 @@ def _text(row: dict) -> str:
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="pactline")
+    parser.add_argument("--version", action="version", version=f"pactline {VERSION}")
     check = parser.add_subparsers(dest="command", required=True).add_parser("check", help="validate and repair one payload")
     given = check.add_mutually_exclusive_group(required=True)
     given.add_argument("--model", help="module.path:Class of a Pydantic model")
@@ -55,7 +56,8 @@ def main(args: list[str] | None = None) -> int:
         print(f"error: {error}", file=sys.stderr)
         return 2
     policy = policy_of(config)
-    row = told(repair(contract.with_strict(config.strict), payload, config, policy=policy), policy)
+    contract = contract.with_strict(config.strict)
+    row = told(repair(contract, payload, config, policy=policy), policy)
     print(json.dumps(row | {"contract_id": contract.contract_id}, ensure_ascii=False) if asked.json else _text(row))
     return EXITS[row["status"]]
 

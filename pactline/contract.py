@@ -10,6 +10,9 @@ from typing import Any
 from pyspark.sql import types as T
 
 
+VERSION = "0.2.0"
+
+
 class _Missing:
     """No default declared; a default of None is one."""
 
@@ -113,6 +116,7 @@ class Config:
     allow_partial: bool = True
     strict: bool = False
     bands: dict = field(default_factory=dict)
+    tie_factor: float = 0.70
 
     def __post_init__(self):
         if self.max_attempts < 1:
@@ -121,6 +125,8 @@ class Config:
             raise ValueError("minimum_trust must be over 0 and at most 1")
         if not 0 < self.collision_margin < 1:
             raise ValueError("collision_margin must be between 0 and 1")
+        if not 0 <= self.tie_factor <= 1:
+            raise ValueError("tie_factor must be between 0 and 1")
 
 
 def find_field(contract: Contract, path: str) -> Field | None:

@@ -65,6 +65,7 @@ class Match:
     score: float
     margin: float
     alternatives: int
+    rival: str | None = None
 
 
 @lru_cache(8192)
@@ -91,5 +92,7 @@ def assign(missing: tuple[str, ...], found: tuple[str, ...]) -> tuple[Match, ...
         for side in (top["m" + m], top["f" + f]):
             if len(side) > 1:
                 lead.append(max(0.0, s - (side[1] if side[0] == s else side[0])))
-        out.append(Match(m, f, s, min(lead, default=1.0), len(missing) + len(found) - 1))
+        # the runner-up: the other name, on either side, that comes nearest to taking this one's place
+        others = [(grid[m, x], x) for x in found if x != f] + [(grid[x, f], x) for x in missing if x != m]
+        out.append(Match(m, f, s, min(lead, default=1.0), len(missing) + len(found) - 1, max(others)[1] if others else None))
     return tuple(out)

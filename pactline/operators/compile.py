@@ -170,3 +170,17 @@ def parsed(text: Column) -> Column:
 
 def is_valid(found: Column) -> Column:
     return ~F.exists(found, lambda v: v["severity"] == "error")
+
+
+def _same(a: Column, b: Column) -> Column:
+    return (a["path"] == b["path"]) & (a["kind"] == b["kind"])
+
+
+def merged(adapter: Column, core: Column) -> Column:
+    """An adapter's own violations, and the core's whose path and kind it does not have; both array columns."""
+    return F.concat(adapter, F.filter(core, lambda v: ~F.exists(adapter, lambda a: _same(a, v))))
+
+
+def first_per_key(found: Column) -> Column:
+    """The violations of an array column without those whose path and kind an earlier one has."""
+    return F.filter(found, lambda v, k: ~F.exists(F.slice(found, F.lit(1), k), lambda a: _same(a, v)))

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..contract import Config, Contract, parse_contract
+from ..functions.values import strict_json
 from . import compile as native
 from .checks import Violation
 from .repair import STRATEGIES, Operation, Result, policy_of, repair
@@ -66,8 +67,8 @@ def parse_row(text: str, encoding: str) -> Any:
     if encoding == "value":
         return text
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
+        return strict_json(text)  # as in validation, an object that repeats a key is none
+    except ValueError:
         return None
 
 
@@ -81,15 +82,24 @@ class Guard:
 
     def _text(self, df: DataFrame, col: str) -> F.Column:
         kind = df.schema[col].dataType.typeName()
-        return F.col(col) if kind == "string" else F.to_json(F.col(col))
+        # a field that is null is present; to_json would leave it out
+        return F.col(col) if kind == "string" else F.to_json(F.col(col), {"ignoreNullFields": "false"})
+
+    @staticmethod
+    def _free(df: DataFrame, *names: str) -> None:
+        taken = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+        if taken:
+            raise ValueError(f"columns that the result needs are taken: {', '.join(taken)}; rename them first")
 
     def validate(self, df: DataFrame, col: str) -> DataFrame:
-        """df with is_valid, violations and contract_id."""
+        """df with is_valid, violations and contract_id, which df must not have itself."""
+        self._free(df, "is_valid", "violations", "contract_id", "__v")
         parsed = df.withColumn("__v", native.parsed(self._text(df, col)))  # a projection of its own: parsed once a row
         return parsed.withColumn("violations", native.violations(self.contract, F.col("__v"))).drop("__v").withColumns({"is_valid": native.is_valid(F.col("violations")), "contract_id": F.lit(self.contract.contract_id)})
 
     def repair(self, df: DataFrame, col: str, encoding: str = "json") -> DataFrame:
-        """df with status, repaired (JSON text), initial, remaining, attempts, ambiguous and contract_id."""
+        """df with status, repaired (JSON text), initial, remaining, attempts, ambiguous and contract_id, which df must not have itself."""
+        self._free(df, "status", "repaired", "initial", "remaining", "attempts", "ambiguous", "contract_id", "__v", "__text", "__found", "__mended")
         contract, config, strategies = self.contract, self.config, self.strategies
 
         kind = pa.struct(list(to_arrow_schema(StructType.fromDDL(RESULT.removeprefix("struct<").removesuffix(">")))))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
+from typing import Literal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from .contract import Config
 from .functions.names import assign, jaro_winkler, normal_name
 from .functions.trust import Evidence, Policy
+from .operators import compile
 from .operators.guard import Guard
+from .operators.repair import Operation
+from .operators.telemetry import Telemetry, log_lines
 from .plans import report
+from .sources import cases as case_files
 from .sources import history
+from .sources.models import contract_of_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -170,15 +175,72 @@ def row_violations(spark, sf_dir):
     return _guard(*_ORDER).validate(_orders(spark, sf_dir), "payload").select("o_orderkey", "is_valid", F.size("violations").alias("n_violations"))
 
 
-@_register("SELECT o_orderkey, CAST(1 + (o_totalprice > 250000 OR o_totalprice < 1000)::INT AS INT) AS n_before, 1 AS n_added FROM orders")
+@_register(
+    """SELECT o_orderkey, CAST((o_totalprice > 250000 OR o_totalprice < 1000)::INT AS INT) AS n_adapter, CAST(2 + (o_orderstatus NOT IN ('O', 'F'))::INT + (o_totalprice > 250000)::INT AS INT) AS n_core,
+    CAST(2 + (o_orderstatus NOT IN ('O', 'F'))::INT + (o_totalprice > 250000 OR o_totalprice < 1000)::INT AS INT) AS n_merged FROM orders"""
+)
 def merged_violations(spark, sf_dir):
-    """An adapter's violations (here: its own rule on prices) joined with the core's, first of each path and kind."""
-    rows = _guard(*_ORDER[:3], _ORDER[3]).validate(_orders(spark, sf_dir), "payload").join(
-        _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey"
-    )
-    own = F.filter(F.transform("violations", lambda v: F.concat_ws("|", v["path"], v["kind"])), lambda k: k.isin("o_totalprice|value_constraint", "o_clerk|missing_required_field"))
-    theirs = F.array_compact(F.array(F.when((F.col("o_totalprice") > 250000) | (F.col("o_totalprice") < 1000), F.lit("o_totalprice|value_constraint"))))
-    return rows.select("o_orderkey", F.size(F.array_union(theirs, own)).alias("n_before"), F.size(F.array_except(own, theirs)).alias("n_added"))
+    """An adapter's violations (here: its own rule on prices), and the core's that it does not have."""
+    rows = _orders(spark, sf_dir).withColumn("price", F.get_json_object("payload", "$.o_totalprice").cast("double"))
+    own = compile.violation("o_totalprice", "value_constraint", "error", "in range", F.lit("float"))
+    rows = rows.withColumn("adapter", F.array_compact(F.array(F.when((F.col("price") > 250000) | (F.col("price") < 1000), own))).cast(compile.VIOLATIONS))
+    rows = _guard(*_ORDER).validate(rows, "payload")
+    both = compile.merged(F.col("adapter"), F.col("violations"))
+    return rows.select("o_orderkey", F.size("adapter").alias("n_adapter"), F.size("violations").alias("n_core"), F.size(both).alias("n_merged"))
+
+
+@_register(
+    """SELECT p_partkey, CAST((length(p_name) < 12)::INT + (length(p_name) > 8)::INT + (p_size > 40)::INT AS INT) AS n_all,
+    CAST((length(p_name) < 12 OR length(p_name) > 8)::INT + (p_size > 40)::INT AS INT) AS n_first FROM part"""
+)
+def dedup_violations(spark, sf_dir):
+    """The first violation of each path and kind, where one value breaks two bounds."""
+    rows = _read(spark, sf_dir, "part").select("p_partkey", _json(p_name=F.col("p_name"), p_size=F.col("p_size")))
+    out = _guard(_f("p_name", "string", limits={"min_length": 12, "max_length": 8}), _f("p_size", "integer", limits={"maximum": 40})).validate(rows, "payload")
+    return out.select("p_partkey", F.size("violations").alias("n_all"), F.size(compile.first_per_key(F.col("violations"))).alias("n_first"))
+
+
+@_register("SELECT c_custkey, c_custkey % 2 = 0 AS is_valid, CAST((c_custkey % 2)::INT AS INT) AS n FROM customer")
+def present_nulls(spark, sf_dir):
+    """A struct's field that is null is present: only its not-null bound can break."""
+    payload = F.struct(F.col("c_custkey").alias("k"), F.lit(None).cast("string").alias("note"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"))
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", payload.alias("payload"))
+    out = _guard(_f("k", "integer"), _f("note", "string"), _f("name", "string", limits={"not_null": True})).validate(rows, "payload")
+    return out.select("c_custkey", "is_valid", F.size("violations").alias("n"))
+
+
+class _Declared:
+    """What a Pydantic field declares, for a model that needs no library."""
+
+    def __init__(self, annotation, default=..., metadata=(), alias=None):
+        self.annotation, self.default, self.metadata = annotation, default, metadata
+        self.validation_alias = self.alias = alias
+        self.default_factory = None
+
+    def is_required(self) -> bool:
+        return self.default is ...
+
+
+class _Customer:
+    model_config = {"extra": "forbid"}
+    model_fields = {
+        "key": _Declared(int, alias="c_custkey"),
+        "c_name": _Declared(str, metadata=(type("MaxLen", (), {"max_length": 17})(),)),
+        "c_mktsegment": _Declared(Literal["BUILDING", "MACHINERY"]),
+        "c_acctbal": _Declared(float | None, default=None, metadata=(type("Ge", (), {"ge": 0})(),)),
+    }
+
+
+@_register(
+    """SELECT path, kind, count(*) AS n FROM (SELECT 'c_name' AS path, 'value_constraint' AS kind FROM customer WHERE length(c_name) > 17
+    UNION ALL SELECT 'c_mktsegment', 'value_constraint' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+    UNION ALL SELECT 'c_acctbal', 'value_constraint' FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'c_nationkey', 'unexpected_field' FROM customer) GROUP BY path, kind"""
+)
+def model_contract(spark, sf_dir):
+    """A contract read from a model: alias, closed set, bounds, optional field, extras forbidden."""
+    contract = contract_of_model(_Customer)
+    rows = _read(spark, sf_dir, "customer").select(F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")).alias("payload"))
+    return report.violation_counts(Guard(contract, Config(strict=contract.strict)).validate(rows, "payload")).groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
 
 # -- repair ----------------------------------------------------------------------------------------------------------
@@ -293,10 +355,111 @@ def _partial(**config):
     return query
 
 
-_ALL["regression_keeps_last_good"] = (_partial(), _HALF.format("partial", "-5"))
+_ALL["rename_exposes_a_bound"] = (_partial(), _HALF.format("partial", "-5"))
 _ALL["partial_refused"] = (_partial(allow_partial=False), _HALF.format("failed", "CAST(NULL AS INT)"))
 
 
+def _fill_a(violations, contract, data):
+    return [Operation("set_default", "a", "declared", Evidence(authority=1.0), value=1)] if "a" not in data else None
+
+
+def _spoil_c(violations, contract, data):
+    return [Operation("set_value", "c", "declared", Evidence(authority=1.0), value="text")] if data.get("c") != "text" else None
+
+
+def _set_b_again(violations, contract, data):
+    return [Operation("set_value", "b", "declared", Evidence(authority=1.0), value="text")]
+
+
+_ABC = (_f("a", "integer"), _f("b", "integer"), _f("c", "integer", required=False))
+
+
+@_register("SELECT s_suppkey, 'partial' AS status, 1 AS a, s_nationkey AS c, 'fill_a:true,spoil_c:false' AS steps, 1 AS n_left FROM supplier")
+def regression_keeps_last_good(spark, sf_dir):
+    """The second attempt makes it worse: it is recorded, and the state before it stands."""
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", _json(c=F.col("s_nationkey")))
+    out = Guard({"fields": list(_ABC)}, strategies=(("fill_a", _fill_a), ("spoil_c", _spoil_c))).repair(rows, "payload")
+    steps = F.array_join(F.transform("attempts", lambda a: F.concat_ws(":", a["strategy"], a["succeeded"].cast("string"))), ",")
+    return out.select("s_suppkey", "status", _part("a", "int").alias("a"), _part("c", "int").alias("c"), steps.alias("steps"), F.size("remaining").alias("n_left"))
+
+
+@_register("SELECT s_suppkey, 'failed' AS status, 2 AS n_attempts FROM supplier")
+def repeated_fix_ends(spark, sf_dir):
+    """A strategy that proposes the same again and again: the second time nothing changes, and the rounds end."""
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", _json(a=F.col("s_nationkey")))
+    out = Guard({"fields": list(_ABC)}, Config(max_attempts=50), strategies=(("again", _set_b_again),)).repair(rows, "payload")
+    return out.select("s_suppkey", "status", F.size("attempts").alias("n_attempts"))
+
+
+@_register("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'success' END AS status, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS balance FROM customer")
+def partial_vs_failed(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    rows = _read(spark, sf_dir, "customer").select(
+        "c_custkey", _json(Balance=F.when(k > 0, F.col("c_acctbal")), xyz=F.when(k == 0, F.lit(1)), country_code=F.when(k == 2, F.lit("IN")))
+    )
+    out = _guard(_f("balance", "float"), _f("country_code", "string")).repair(rows, "payload")
+    return out.select("c_custkey", "status", _part("balance", "double").alias("balance"))
+
+
+@_register("SELECT target, 1 AS n_candidates, count(*) AS n FROM customer, (VALUES ('user_id'), ('user_name')) AS t(target) GROUP BY target")
+def ambiguity_groups(spark, sf_dir):
+    """What was withheld, by the field it was meant for; the second of two placements is seen once the first is filled by default."""
+    rows = _read(spark, sf_dir, "customer").select(_json(user_email=F.col("c_name")))
+    out = _guard(_f("user_id", "string"), _f("user_name", "string", default="anon")).repair(rows, "payload")
+    each = out.select(F.explode("ambiguous").alias("a")).select(F.col("a.target").alias("target"), F.size("a.candidates").alias("n_candidates"))
+    return each.groupBy("target", "n_candidates").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT s_suppkey, 'success' AS status, s_name AS city, CAST(s_nationkey AS VARCHAR) AS zip FROM supplier")
+def nested_depth2(spark, sf_dir):
+    rows = _read(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.to_json(F.struct(F.struct(F.col("s_name").alias("city"), F.col("s_nationkey").cast("string").alias("zipcode")).alias("address"))).alias("payload")
+    )
+    g = _guard(_f("address", "object", nested={"fields": [_f("city", "string"), _f("zip_code", "string")]}))
+    return g.repair(rows, "payload").select("s_suppkey", "status", _part("address.city", "string").alias("city"), _part("address.zip_code", "string").alias("zip"))
+
+
+_REFUSED = ("null", "3", "1.5", "true", '"text"', "{", "[]", "[1, 2]", '[{"a": 1}, {"a": 2}]', '[["a", 1], ["a", 2]]', '[["a", 1, 2]]', '[[{"a": 1}]]', '{"a": 1, "a": 2}')
+
+
+@_register(f"SELECT n_nationkey, 'failed' AS status, TRUE AS lost, ',structural_mismatch' AS found, 0 AS n_attempts FROM nation WHERE {len(_REFUSED)} > 0")
+def root_refusal(spark, sf_dir):
+    """Roots that are no object and cannot be read as one."""
+    texts = F.array(*(F.lit(t) for t in _REFUSED))
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey", F.get(texts, F.col("n_nationkey") % len(_REFUSED)).alias("payload"))
+    out = _guard(_f("a", "integer")).repair(rows, "payload", encoding="value")
+    found = F.array_join(F.transform("remaining", lambda v: F.concat_ws(",", v["path"], v["kind"])), ";")
+    return out.select("n_nationkey", "status", F.col("repaired").isNull().alias("lost"), found.alias("found"), F.size("attempts").alias("n_attempts"))
+
+
+@_register("SELECT n_nationkey, 'success' AS status, n_nationkey AS a, n_name AS b, 1 AS n_initial FROM nation")
+def root_pairs(spark, sf_dir):
+    """A list of pairs is an object, but for the finding that it was none."""
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey", F.format_string('[["a", %d], ["b", "%s"]]', "n_nationkey", "n_name").alias("payload"))
+    out = _guard(_f("a", "integer"), _f("b", "string")).repair(rows, "payload", encoding="value")
+    return out.select("n_nationkey", "status", _part("a", "int").alias("a"), _part("b", "string").alias("b"), F.size("initial").alias("n_initial"))
+
+
+@_register(
+    "SELECT count(*) AS rows, count(*) FILTER (c_custkey % 2 = 0) AS already_valid, count(*) FILTER (c_custkey % 2 = 1) AS success, 0 AS failed, count(*) FILTER (c_custkey % 2 = 1) AS applied FROM customer"
+)
+def telemetry_counts(spark, sf_dir):
+    """Counts observed in the job that carries the repair out."""
+    balance = F.when(F.col("c_custkey") % 2 == 0, F.format_string('{"balance": %s}', F.col("c_acctbal").cast("string"))).otherwise(F.format_string('{"Balance": %s}', F.col("c_acctbal").cast("string")))
+    watch = Telemetry()
+    watch.watch(_guard(_f("balance", "float")).repair(_read(spark, sf_dir, "customer").select(balance.alias("payload")), "payload")).write.format("noop").mode("overwrite").save()
+    told = watch.get()
+    names = ("rows", "already_valid", "success", "failed", "applied")
+    return _literals(spark, [tuple(told[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@_register("SELECT event, level, count(*) AS n FROM nation, (VALUES ('root.normalised', 'INFO'), ('repair.attempt', 'INFO'), ('repair.ended', 'INFO')) AS t(event, level) GROUP BY event, level")
+def repair_log(spark, sf_dir):
+    rows = _read(spark, sf_dir, "nation").select(F.format_string('[{"A": %d}]', "n_nationkey").alias("payload"))
+    lines = log_lines(_guard(_f("a", "integer")).repair(rows, "payload", encoding="value"))
+    return lines.groupBy("event", "level").agg(F.count("*").alias("n"))
+
+
 @_register("SELECT n_nationkey, 'success' AS status, n_name AS v, n_regionkey AS r FROM nation")
 def nested_depth3(spark, sf_dir):
     rows = _read(spark, sf_dir, "nation").select(
@@ -328,24 +491,30 @@ def _literals(spark: SparkSession, rows: list[tuple], shape: str) -> DataFrame:
     return spark.createDataFrame(rows, shape)
 
 
+_RISK = "CASE l_linenumber % 5 WHEN 0 THEN 'reversible' WHEN 1 THEN 'declared' WHEN 2 THEN 'inferred' WHEN 3 THEN 'lossy' ELSE 'destructive' END"
+
+
 @_register(
-    """SELECT * FROM (VALUES ('inferred', 0.59, 'reject'), ('inferred', 0.6, 'ambiguous'), ('inferred', 0.74, 'ambiguous'), ('inferred', 0.75, 'apply'), ('lossy', 0.94, 'ambiguous'),
-    ('lossy', 0.95, 'apply'), ('reversible', 0.49, 'reject'), ('reversible', 0.7, 'apply'), ('destructive', 1.0, 'ambiguous'), ('declared', 0.0, 'apply')) AS t(risk, trust, decision)"""
+    f"""SELECT risk, decision, count(*) AS n FROM (SELECT risk, CASE risk WHEN 'reversible' THEN CASE WHEN t >= 0.7 THEN 'apply' WHEN t < 0.5 THEN 'reject' ELSE 'ambiguous' END WHEN 'declared' THEN 'apply'
+    WHEN 'inferred' THEN CASE WHEN t >= 0.75 THEN 'apply' WHEN t < 0.6 THEN 'reject' ELSE 'ambiguous' END WHEN 'lossy' THEN CASE WHEN t >= 0.95 THEN 'apply' WHEN t < 0.7 THEN 'reject' ELSE 'ambiguous' END
+    ELSE 'ambiguous' END AS decision FROM (SELECT {_RISK} AS risk, round(l_quantity / 50.0, 2) AS t FROM lineitem)) GROUP BY risk, decision"""
 )
 def decisions_by_risk(spark, sf_dir):
-    p = Policy.of()
-    told = [("inferred", 0.59), ("inferred", 0.6), ("inferred", 0.74), ("inferred", 0.75), ("lossy", 0.94), ("lossy", 0.95), ("reversible", 0.49), ("reversible", 0.7), ("destructive", 1.0), ("declared", 0.0)]
-    return _literals(spark, [(r, t, p.decide(r, t)) for r, t in told], "risk string, trust double, decision string").withColumn("trust", F.col("trust").cast("decimal(3,2)"))
+    rows = _read(spark, sf_dir, "lineitem").select(F.expr(_RISK).alias("risk"), F.round(F.col("l_quantity") / 50.0, 2).alias("t"))
+    return rows.select("risk", Policy.of().decision_column(F.col("risk"), F.col("t")).alias("decision")).groupBy("risk", "decision").agg(F.count("*").alias("n"))
 
 
 @_register(
-    """SELECT name, round(least(name, coalesce(value, 1)) * coalesce(0.7 + 0.3 * least(1, margin / 0.15), 1), 6) AS trust
-    FROM (VALUES (0.913, NULL, 0.021), (0.8, 0.85, NULL), (1.0, 0.95, 0.3)) AS t(name, value, margin)"""
+    """SELECT l_orderkey, l_linenumber, round(least(1 - l_discount, 1 - l_tax) * (0.7 + 0.3 * least(1.0, l_discount / 0.15)), 6) AS trust,
+    round((1 - l_tax) * (0.5 + 0.5 * least(1.0, l_discount / 0.05)), 6) AS strict_trust FROM lineitem"""
 )
 def trust_scores(spark, sf_dir):
-    p = Policy.of()
-    rows = [(n, round(p.score(Evidence(name=n, value=v, margin=m)), 6)) for n, v, m in ((0.913, None, 0.021), (0.8, 0.85, None), (1.0, 0.95, 0.3))]
-    return _literals(spark, rows, "name double, trust double")
+    rows, one = _read(spark, sf_dir, "lineitem"), F.lit(1)
+    plain, strict = Policy.of(), Policy.of(full_margin=0.05, tie_factor=0.5)
+    return rows.select(
+        "l_orderkey", "l_linenumber", F.round(plain.score_column(name=one - F.col("l_discount"), value=one - F.col("l_tax"), margin=F.col("l_discount")), 6).alias("trust"),
+        F.round(strict.score_column(value=one - F.col("l_tax"), margin=F.col("l_discount")), 6).alias("strict_trust"),
+    )
 
 
 _PREFIX = "CASE WHEN substr(a,1,1)<>substr(b,1,1) THEN 0 WHEN substr(a,2,1)<>substr(b,2,1) THEN 1 WHEN substr(a,3,1)<>substr(b,3,1) THEN 2 WHEN substr(a,4,1)<>substr(b,4,1) THEN 3 ELSE 4 END"
@@ -366,11 +535,48 @@ def name_similarity_grid(spark, sf_dir):
     return rows.withColumn("similarity", similar("n_name", "c_mktsegment"))
 
 
-@_register("SELECT * FROM (VALUES ('user_name', 'user_email', 0.913, 0.022), ('zip_code', 'zipcode', 0.971, 0.471)) AS t(missing, found, score, margin) WHERE FALSE")
+_SIMILAR = f"j + 0.1 * ({_PREFIX}) * (1 - j)"
+
+
+def _grid(found: str, of: str) -> str:
+    """SQL: similarity s of every name m with every found name f."""
+    return f"SELECT m, f, {_SIMILAR} AS s FROM (SELECT m, f, lower(m) AS a, lower(f) AS b, jaro_similarity(lower(m), lower(f)) AS j FROM ({of}) CROSS JOIN (SELECT {found} AS f FROM ({of})))"
+
+
+_NATIONS = "SELECT n_name AS m, n_nationkey AS k FROM nation"
+
+
+def _assigned(spark, rows: DataFrame) -> DataFrame:
+    """assign() over the names of a table's rows: a contract has as many fields as people declare."""
+    names = rows.agg(F.array_sort(F.collect_set("m")).alias("m"), F.array_sort(F.collect_set("f")).alias("f"))
+
+    @F.arrow_udf("array<struct<missing:string,found:string,score:double,margin:double,rival:string>>")
+    def run(m: pa.Array, f: pa.Array) -> pa.Array:
+        out = [[{"missing": x.missing, "found": x.found, "score": x.score, "margin": x.margin, "rival": x.rival} for x in assign(tuple(a), tuple(b))] for a, b in zip(m.to_pylist(), f.to_pylist(), strict=True)]
+        return pa.array(out, pa.list_(pa.struct([("missing", pa.string()), ("found", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rival", pa.string())])))
+
+    return names.select(F.explode(run("m", "f")).alias("x")).select("x.*")
+
+
+@_register(
+    f"""WITH g AS ({_grid("lower(m) || '_x'", _NATIONS)})
+    SELECT m AS missing, f AS found, round(s, 6) AS score, round(least(s - (SELECT max(o.s) FROM g o WHERE o.m = g.m AND o.f <> g.f), s - (SELECT max(o.s) FROM g o WHERE o.f = g.f AND o.m <> g.m)), 6) AS margin
+    FROM g WHERE f = lower(m) || '_x'"""
+)
+def assignment_margins(spark, sf_dir):
+    """One-to-one assignment of all nations' names to drifted ones, with the lead over the best rival on either side."""
+    rows = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("m"), F.concat(F.lower("n_name"), F.lit("_x")).alias("f"))
+    return _assigned(spark, rows).select("missing", "found", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
+@_register("SELECT n_name AS missing, lower(n_name) || '_x' AS found FROM nation WHERE n_nationkey % 2 = 0")
 def assignment_floor(spark, sf_dir):
-    """Names too far apart to be proposed at all: no row."""
-    got = assign(("temperature", "humidity"), ("xyz", "abc"))
-    return _literals(spark, [(m.missing, m.found, round(m.score, 3), round(m.margin, 3)) for m in got], "missing string, found string, score double, margin double")
+    """Half of the names are too far from anything to be proposed at all."""
+    far = F.concat(F.lit("#"), F.col("n_nationkey").cast("string"), F.lit("#"))
+    rows = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("m"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lower("n_name"), F.lit("_x"))).otherwise(far).alias("f"))
+    rows = rows.union(_read(spark, sf_dir, "nation").where("false").select(F.col("n_name"), F.col("n_name")))
+    keep = F.col("found").startswith("#")
+    return _assigned(spark, rows.withColumn("m", F.when(~F.col("f").startswith("#"), F.col("m")))).where(~keep).select("missing", "found")
 
 
 @_register("SELECT r_name, replace(lower(r_name), ' ', '') AS form FROM region")
@@ -408,30 +614,30 @@ def repair_statuses(spark, sf_dir):
     return report.status_counts(_guard(_f("l_quantity", "float")).repair(rows, "payload"))
 
 
+def _case(name: str, fields: list[dict], payload: dict, status: str, least: float | None = None) -> dict:
+    return {"name": name, "expected_schema": {"fields": fields}, "broken_payload": payload, "expected_result": {"status": status, "min_confidence": least}}
+
+
 _WEATHER = [_f("temperature", "float"), _f("humidity", "integer")]
+_COUNTRY = _f("country", "object", nested={"fields": [_f("code", "string")]})
 CASES = [
-    ([_f("temp", "float", aliases=["temperature"]), _f("humidity", "integer")], {"temperature": 31.5, "humidity": 80}, "success", 1.0),
-    (_WEATHER, {"temp_celsius": 31.5, "humidity": 80}, "success", 0.7),
-    (_WEATHER, {"temperature": "31.5", "humidity": "80"}, "success", 0.9),
-    ([_WEATHER[0], _f("humidity", "integer", default=60)], {"temperature": 31.5}, "success", 1.0),
-    ([_f("name", "string"), _f("address", "object", nested={"fields": [_f("city", "string"), _f("zip_code", "string")]})], {"name": "Alice", "address": {"city": "Mumbai", "zipcode": "400001"}}, "success", 0.7),
-    (_WEATHER, {"xyz": 31.5, "abc": 80}, "failed", None),
-    (_WEATHER, {"temperature": 31.5, "humidity": 80}, "already_valid", None),
-    ([*_WEATHER, _f("country_code", "string")], {"temp_celsius": 31.5, "humidity": 80}, "partial", None),
-    ([_f("metadata", "object"), _f("tags", "array", item_type="string")], {"metadata": '{"a": 1}', "tags": '["x"]'}, "success", 0.9),
-]
-
-
-@_register("SELECT 9 AS cases, 9 AS passed, 1.0 AS repair_rate, 0 AS false_positives, 1.0 AS precision")
+    _case("alias", [_f("temp", "float", aliases=["temperature"]), _f("humidity", "integer")], {"temperature": 18.25, "humidity": 41}, "success", 1.0),
+    _case("fuzzy name", _WEATHER, {"temp_celsius": 18.25, "humidity": 41}, "success", 0.7),
+    _case("texts", _WEATHER, {"temperature": "18.25", "humidity": "41"}, "success", 0.9),
+    _case("default", [_WEATHER[0], _f("humidity", "integer", default=50)], {"temperature": 18.25}, "success", 1.0),
+    _case("two levels", [_f("name", "string"), _f("address", "object", nested={"fields": [_f("city", "string"), _f("zip_code", "string")]})], {"name": "Bo", "address": {"city": "Lund", "zipcode": "22350"}}, "success", 0.7),
+    _case("three levels", [_f("name", "string"), _f("address", "object", nested={"fields": [_f("city", "string"), _COUNTRY]})], {"name": "Bo", "address": {"city": "Lund", "country": {"cod": "SE"}}}, "success", 0.9),
+    _case("nothing alike", _WEATHER, {"qqq": 18.25, "www": 41}, "failed"),
+    _case("valid", _WEATHER, {"temperature": 18.25, "humidity": 41}, "already_valid"),
+    _case("in part", [*_WEATHER, _f("country_code", "string")], {"temp_celsius": 18.25, "humidity": 41}, "partial"),
+    _case("JSON in texts", [_f("metadata", "object"), _f("tags", "array", item_type="string")], {"metadata": '{"rev": 7}', "tags": '["a", "b"]'}, "success", 0.9),
+    _case("spelling", [_f("title", "string"), _f("state", "string", limits={"enum_values": ["open", "in_progress"]}), _f("rank", "string", limits={"enum_values": ["low", "high"]})], {"title": "x", "state": "IN PROGRESS", "rank": "High"}, "success", 0.8),
+]
+
+
+@_register("SELECT 11 AS cases, 11 AS passed, 1.0 AS repair_rate, 0 AS false_positives, 1.0 AS precision, 0.955 AS average_trust")
 def golden_cases_summary(spark, sf_dir):
-    parts = [
-        Guard({"fields": fields}).repair(_literals(spark, [(json.dumps(payload), status, least)], "payload string, expected_status string, min_confidence double"), "payload")
-        for fields, payload, status, least in CASES
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return report.case_summary(report.case_results(rows)).drop("average_trust")
+    return report.case_summary(case_files.run(spark, CASES)).withColumn("average_trust", F.round("average_trust", 3))
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import pactline
 from pactline import Config, Guard, contract_of_schema, parse_contract
 from pactline.cli import main
 from pactline.functions.names import assign, jaro_winkler, normal_name, normal_value
@@ -12,7 +14,7 @@ from pactline.operators.checks import check, first_per_key, merged
 from pactline.operators.guard import told
 from pactline.operators.repair import policy_of, repair
 from pactline.queries import CASES
-from pactline.sources import files, history
+from pactline.sources import cases, files, history
 from pactline.streaming.stream import repair_stream
 
 WEATHER = {"fields": [{"path": "temperature", "type": "float"}, {"path": "humidity", "type": "integer"}]}
@@ -50,9 +52,10 @@ def test_assignment_margin_counts_taken_rivals():
     assert normal_name("a.Zip-Code ") == "zipcode" and normal_value(" In Progress") == "in_progress"
 
 
-@pytest.mark.parametrize("fields, payload, status, least", CASES)
-def test_golden_cases(fields, payload, status, least):
-    got = fix({"fields": fields}, payload)
+@pytest.mark.parametrize("case", CASES, ids=lambda c: c["name"])
+def test_golden_cases(case):
+    status, least = case["expected_result"]["status"], case["expected_result"]["min_confidence"]
+    got = fix(case["expected_schema"], case["broken_payload"])
     assert got.status == status
     assert all(o.trust >= (least or 0) for a in got.attempts for o in a.applied)
 
@@ -164,13 +167,59 @@ def test_history_files_and_stream(spark, tmp_path):
 def test_command_line(tmp_path, capsys):
     schema, payload = tmp_path / "s.json", tmp_path / "p.json"
     schema.write_text(json.dumps(WEATHER))
-    for data, code in (({"temp_celsius": 1.5, "humidity": 2}, 0), ({"xyz": 1, "abc": 2}, 1)):
+    for data, code in (({"temp_celsius": 1.5, "humidity": 2}, 0), ({"xyz": 1, "abc": 2}, 2), ({"temp_celsius": 1.5, "xyz": 2}, 1)):
         payload.write_text(json.dumps(data))
         assert main(["check", "--schema", str(schema), "--payload", str(payload), "--json"]) == code
     assert json.loads(capsys.readouterr().out.splitlines()[0])["status"] == "success"
     assert main(["check", "--schema", str(schema), "--payload", str(tmp_path / "none.json")]) == 2
 
 
+def test_version_and_strict_id(tmp_path, capsys):
+    with pytest.raises(SystemExit) as end:
+        main(["--version"])
+    assert end.value.code == 0 and pactline.__version__ in capsys.readouterr().out
+    for name, data in (("s", WEATHER), ("p", {"temperature": 1.5, "humidity": 2})):
+        (tmp_path / name).write_text(json.dumps(data))
+    assert main(["check", "--schema", str(tmp_path / "s"), "--payload", str(tmp_path / "p"), "--json", "--strict"]) == 0
+    assert json.loads(capsys.readouterr().out)["contract_id"] == parse_contract(WEATHER).with_strict(True).contract_id
+
+
+def test_structs_repeated_keys_and_taken_names(spark):
+    guard = Guard({"fields": [{"path": "a", "type": "string"}]})
+    rows = spark.createDataFrame([((None, 1),)], "p struct<a:string,b:int>")
+    assert [v["kind"] for v in guard.validate(rows, "p").first()["violations"]] == ["unexpected_field"]
+    assert guard.repair(rows, "p").first()["status"] == "already_valid"
+    twice = spark.createDataFrame([('{"a": "x", "a": 1}',)], "p string")
+    assert not guard.validate(twice, "p").first()["is_valid"] and guard.repair(twice, "p").first()["status"] == "failed"
+    for name in ("status", "Violations", "attempts", "__v"):
+        taken = twice.withColumn(name, F.lit(1))
+        with pytest.raises(ValueError, match=name.lower()):
+            (guard.validate if name in ("Violations", "__v") else guard.repair)(taken, "p")
+
+
+def test_cases_from_files(spark, tmp_path):
+    for k, case in enumerate(CASES[:3]):
+        (tmp_path / f"{2 - k}.json").write_text(json.dumps(case))
+    found = cases.scan(spark, str(tmp_path))
+    assert [c["name"] for c in found] == [c["name"] for c in CASES[2::-1]]
+    cases.write(cases.run(spark, found), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "summary")).first()["passed"] == 3
+    assert spark.read.json(str(tmp_path / "out" / "cases")).where("passed").count() == 3
+    (tmp_path / "9.json").write_text("{}")
+    with pytest.raises(ValueError, match="lacks name"):
+        cases.scan(spark, str(tmp_path))
+
+
+def test_silent_telemetry_and_native_policy(spark):
+    rows = spark.createDataFrame([('{"temperature": 1, "humidity": 2}',)], "p string")
+    done = Guard(WEATHER).repair(rows, "p")
+    assert pactline.Silent().watch(done) is done and pactline.Silent().get() == {}
+    p = Policy.of()
+    told = [(r, t) for r in dict(p.bands) for t in (0.0, 0.49, 0.5, 0.59, 0.6, 0.7, 0.74, 0.75, 0.94, 0.95, 1.0)]
+    got = spark.createDataFrame(told, "r string, t double").select("r", "t", p.decision_column(F.col("r"), F.col("t")).alias("d")).collect()
+    assert [(x["r"], x["t"], x["d"]) for x in got] == [(r, t, p.decide(r, t)) for r, t in told]
+
+
 def test_models_if_installed():
     pydantic = pytest.importorskip("pydantic")
     from typing import Literal
