@@ -94,6 +94,7 @@ class Contract:
 
     def __post_init__(self):
         object.__setattr__(self, "fields", tuple(self.fields))
+        object.__setattr__(self, "_names", {f.name: f for f in self.fields})
         if not self.contract_id:
             told = ";".join([f"strict={int(self.strict)}", *(f"{f.path}:{f.type}:{int(f.required)}" for f in sorted(self.fields, key=lambda f: f.path))])
             object.__setattr__(self, "contract_id", hashlib.sha256(told.encode()).hexdigest()[:16])
@@ -103,7 +104,7 @@ class Contract:
         return self if strict == self.strict else replace(self, strict=strict, contract_id="")
 
     def names(self) -> dict[str, Field]:
-        return {f.name: f for f in self.fields}
+        return self._names
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -45,8 +46,7 @@ class Policy:
         return min(told) * factor
 
     def cuts(self, risk: str) -> tuple[float, float]:
-        low, high = dict(self.bands)[risk]
-        return low, max(high, self.floor)
+        return _cuts(self, risk)
 
     def decide(self, risk: str, trust: float) -> str:
         low, high = self.cuts(risk)
@@ -75,3 +75,9 @@ class Policy:
         low, high = self.cuts(risk)
         told = [f"{k} {v:.3f}" for k, v in (("authority", e.authority), ("name", e.name), ("value", e.value), ("margin", e.margin)) if v is not None]
         return f"{risk}: trust {trust:.3f} from {', '.join(told) or 'no evidence'}; rejected below {low:.2f}, applied from {high:.2f}"
+
+
+@lru_cache(256)
+def _cuts(policy: Policy, risk: str) -> tuple[float, float]:
+    low, high = dict(policy.bands)[risk]
+    return low, max(high, policy.floor)
