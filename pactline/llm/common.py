@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where it is unset, as in tests, a local folder."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only in one process, as in tests, a local folder where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pactline-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -110,7 +113,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Returns (node, root): one row per node that has an edge to another node, root the smallest node reachable.
     Alternating large-star and small-star rounds: every round is joins and aggregations on node ids, stored in the
-    shared folder; only two numbers per round reach the driver. Nulls and self-loops are ignored.
+    shared folder; only two numbers per round reach the driver. Nulls and self-loops are ignored. Rounds grow with the logarithm
+    of the largest component; max_rounds of them without an end raise RuntimeError rather than give a wrong result.
     """
     pairs = cut(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
