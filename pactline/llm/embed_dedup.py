@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .ann import matrix
 from .common import components, cut, in_blocks
 
-LIST_ROWS, MOST_LISTS, SAMPLE, CODES, PARTS, ROWS_EACH, ASKS_EACH = 256, 1024, 16384, 256, 8, 2048, 2048
+LIST_ROWS, MOST_LISTS, SAMPLE, CODES, PARTS, ROWS_EACH, ASKS_EACH = 256, 1024, 16384, 256, 8, 1024, 1024
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
