@@ -106,7 +106,8 @@ def _without(text: str, gone: list[tuple[int, int]]) -> str:
         at = max(at, min(len(text), end + 1))
     parts.append(text[at:])
     out = "".join(parts)
-    return out[:-1] if at >= len(text) and out.endswith("\n") and gone else out
+    # only a chunk that the text ends with has no line end after it
+    return out[:-1] if out.endswith("\n") and any(end == len(text) for _, end in gone) else out
 
 
 _SPAN = "id long, tkey long, start int, end int, h long"
