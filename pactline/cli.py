@@ -7,6 +7,7 @@ import json
 import sys
 
 from .contract import VERSION, Config, parse_contract
+from .operators.checks import check
 from .operators.guard import told
 from .operators.repair import policy_of, repair
 
@@ -33,31 +34,32 @@ def _text(row: dict) -> str:
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="pactline")
     parser.add_argument("--version", action="version", version=f"pactline {VERSION}")
-    check = parser.add_subparsers(dest="command", required=True).add_parser("check", help="validate and repair one payload")
-    given = check.add_mutually_exclusive_group(required=True)
+    command = parser.add_subparsers(dest="command", required=True).add_parser("check", help="validate and repair one payload")
+    given = command.add_mutually_exclusive_group(required=True)
     given.add_argument("--model", help="module.path:Class of a Pydantic model")
     given.add_argument("--schema", help="JSON file of a contract")
-    check.add_argument("--payload", required=True)
-    check.add_argument("--json", action="store_true")
-    check.add_argument("--strict", action="store_true")
-    check.add_argument("--max-attempts", type=int, default=Config.max_attempts)
-    check.add_argument("--confidence-threshold", type=float, default=Config.minimum_trust)
+    command.add_argument("--payload", required=True)
+    command.add_argument("--json", action="store_true")
+    command.add_argument("--strict", action="store_true")
+    command.add_argument("--max-attempts", type=int, default=Config.max_attempts)
+    command.add_argument("--confidence-threshold", type=float, default=Config.minimum_trust)
     asked = parser.parse_args(args)
     try:
         config = Config(max_attempts=asked.max_attempts, minimum_trust=asked.confidence_threshold, strict=asked.strict)
         payload = _load(asked.payload)
         if asked.model:
-            from .sources.models import contract_of_model, load
+            from .sources.models import ModelCheck, contract_of_model, load
 
-            contract = contract_of_model(load(asked.model))
+            model = load(asked.model)
+            contract, checker = contract_of_model(model), ModelCheck(model)
         else:
-            contract = parse_contract(_load(asked.schema))
+            contract, checker = parse_contract(_load(asked.schema)), check
     except (OSError, ValueError, TypeError, KeyError, ImportError, AttributeError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
     policy = policy_of(config)
     contract = contract.with_strict(config.strict)
-    row = told(repair(contract, payload, config, policy=policy), policy)
+    row = told(repair(contract, payload, config, policy=policy, checker=checker), policy)
     print(json.dumps(row | {"contract_id": contract.contract_id}, ensure_ascii=False) if asked.json else _text(row))
     return EXITS[row["status"]]
 

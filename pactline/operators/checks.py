@@ -97,4 +97,8 @@ def merged(adapter: list[Violation], core: list[Violation]) -> list[Violation]:
 
 
 def first_per_key(violations: list[Violation]) -> list[Violation]:
-    return list({(v.path, v.kind): v for v in reversed(violations)}.values())[::-1]
+    """The first of each path and kind, in the order of their first occurrence."""
+    firsts: dict[tuple[str, str], Violation] = {}
+    for v in violations:
+        firsts.setdefault((v.path, v.kind), v)
+    return list(firsts.values())

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from ..contract import Config, Contract, parse_contract
 from ..functions.values import strict_json
 from . import compile as native
-from .checks import Violation
+from .checks import ROOT, Violation, check
 from .repair import STRATEGIES, Operation, Result, policy_of, repair
 
 OPERATION = "struct<op:string,target:string,source:string,risk:string,trust:double,value:string,before:string,after:string>"
@@ -73,12 +73,35 @@ def parse_row(text: str, encoding: str) -> Any:
 
 
 class Guard:
-    """Validates and repairs payload columns of JSON text (or structs, maps and VARIANT) against one contract."""
+    """Validates and repairs payload columns of JSON text (or structs, maps and VARIANT) against one contract.
 
-    def __init__(self, contract: Contract | dict, config: Config | None = None, strategies=STRATEGIES):
+    A checker other than the contract's own (see sources/models.py) takes the place of the native check; every payload then
+    goes through an Arrow batch.
+    """
+
+    def __init__(self, contract: Contract | dict, config: Config | None = None, strategies=STRATEGIES, checker=check):
         self.config = config or Config()
         self.contract = (parse_contract(contract) if isinstance(contract, dict) else contract).with_strict(self.config.strict)
         self.strategies = tuple(strategies)
+        self.checker = checker
+
+    @property
+    def _native(self) -> bool:
+        return self.checker is check
+
+    def _found(self, text: str, parsed: str) -> F.Column:
+        """Violations of the payload in the columns text and parsed."""
+        if self._native:
+            return native.violations(self.contract, F.col(parsed))
+        contract, checker = self.contract, self.checker
+        kind = pa.list_(pa.struct(list(to_arrow_schema(StructType.fromDDL(native.VIOLATIONS.removeprefix("array<struct<").removesuffix(">>"))))))
+
+        @F.arrow_udf(native.VIOLATIONS)
+        def run(texts: pa.Array) -> pa.Array:
+            roots = (None if t is None else parse_row(t, "json") for t in texts.to_pylist())
+            return pa.array([[_violation(v) for v in (checker(contract, r) if isinstance(r, dict) else [ROOT])] for r in roots], kind)
+
+        return run(F.col(text))
 
     def _text(self, df: DataFrame, col: str) -> F.Column:
         kind = df.schema[col].dataType.typeName()
@@ -93,27 +116,27 @@ class Guard:
 
     def validate(self, df: DataFrame, col: str) -> DataFrame:
         """df with is_valid, violations and contract_id, which df must not have itself."""
-        self._free(df, "is_valid", "violations", "contract_id", "__v")
-        parsed = df.withColumn("__v", native.parsed(self._text(df, col)))  # a projection of its own: parsed once a row
-        return parsed.withColumn("violations", native.violations(self.contract, F.col("__v"))).drop("__v").withColumns({"is_valid": native.is_valid(F.col("violations")), "contract_id": F.lit(self.contract.contract_id)})
+        self._free(df, "is_valid", "violations", "contract_id", "__text", "__v")
+        parsed = df.withColumn("__text", self._text(df, col)).withColumn("__v", native.parsed(F.col("__text")))  # a projection of its own: parsed once a row
+        return parsed.withColumn("violations", self._found("__text", "__v")).drop("__text", "__v").withColumns({"is_valid": native.is_valid(F.col("violations")), "contract_id": F.lit(self.contract.contract_id)})
 
     def repair(self, df: DataFrame, col: str, encoding: str = "json") -> DataFrame:
         """df with status, repaired (JSON text), initial, remaining, attempts, ambiguous and contract_id, which df must not have itself."""
         self._free(df, "status", "repaired", "initial", "remaining", "attempts", "ambiguous", "contract_id", "__v", "__text", "__found", "__mended")
-        contract, config, strategies = self.contract, self.config, self.strategies
+        contract, config, strategies, checker = self.contract, self.config, self.strategies, self.checker
 
         kind = pa.struct(list(to_arrow_schema(StructType.fromDDL(RESULT.removeprefix("struct<").removesuffix(">")))))
 
         @F.arrow_udf(RESULT)
         def mend(texts: pa.Array) -> pa.Array:
             policy = policy_of(config)
-            return pa.array([None if t is None else told(repair(contract, parse_row(t, encoding), config, strategies, policy), policy) for t in texts.to_pylist()], kind)
+            return pa.array([None if t is None else told(repair(contract, parse_row(t, encoding), config, strategies, policy, checker), policy) for t in texts.to_pylist()], kind)
 
         text = self._text(df, col)
         checked = df.withColumn("__text", text).withColumn("__v", native.parsed(F.col("__text")))
-        checked = checked.withColumn("__found", native.violations(self.contract, F.col("__v"))).drop("__v")
+        checked = checked.withColumn("__found", native.violations(contract, F.col("__v"))).drop("__v")
         # a text that is its own root is recovered even where it is valid; SQL NULL is a payload that is no object
-        fine = native.is_valid(F.col("__found")) & F.lit(encoding == "json")
+        fine = native.is_valid(F.col("__found")) & F.lit(encoding == "json" and self._native)
         # kept where it is: the optimiser must neither repeat it nor move filters on its result below it
         mended = checked.withColumn("__mended", mend.asNondeterministic()(F.when(~fine, F.coalesce("__text", F.lit("null")))))
 

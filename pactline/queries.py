@@ -19,7 +19,7 @@ from .operators.telemetry import Telemetry, log_lines
 from .plans import report
 from .sources import cases as case_files
 from .sources import history
-from .sources.models import contract_of_model
+from .sources.models import contract_of_model, guard_of_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -243,6 +243,51 @@ def model_contract(spark, sf_dir):
     return report.violation_counts(Guard(contract, Config(strict=contract.strict)).validate(rows, "payload")).groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
 
+class _Refused(ValueError):
+    """What a model raises: its errors, each a dictionary."""
+
+    def __init__(self, *found: dict):
+        super().__init__(found)
+        self.found = found
+
+    def errors(self) -> list[dict]:
+        return list(self.found)
+
+
+class _Balance:
+    """A model with a rule of its own, beyond what its contract says; it takes numbers in text."""
+
+    model_config: dict = {}
+    model_fields = {"c_custkey": _Declared(int), "c_acctbal": _Declared(float)}
+
+    @classmethod
+    def model_validate(cls, payload: dict) -> dict:
+        if float(payload["c_acctbal"]) > 9000:
+            raise _Refused({"type": "less_than_equal", "loc": ("c_acctbal",), "input": payload["c_acctbal"], "ctx": {"le": 9000}})
+        return payload
+
+
+def _balances(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select("c_custkey", _json(c_custkey=F.col("c_custkey"), c_acctbal=F.col("c_acctbal").cast("string")))
+
+
+@_register(
+    """SELECT 'c_acctbal' AS path, 'type_mismatch' AS kind, 'float' AS expected, count(*) AS n FROM customer
+    UNION ALL SELECT 'c_acctbal', 'value_constraint', 'le=9000', count(*) FROM customer WHERE c_acctbal > 9000 HAVING count(*) > 0"""
+)
+def model_violations(spark, sf_dir):
+    """A model's own errors with those that only its contract finds."""
+    found = guard_of_model(_Balance).validate(_balances(spark, sf_dir), "payload").select(F.explode("violations").alias("v"))
+    return found.groupBy("v.path", "v.kind", "v.expected").agg(F.count("*").alias("n"))
+
+
+@_register("SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN 'partial' ELSE 'success' END AS status, c_acctbal AS acctbal, 'type_coercion' AS steps FROM customer")
+def model_repair(spark, sf_dir):
+    """Repairs that the model itself must accept."""
+    out = guard_of_model(_Balance).repair(_balances(spark, sf_dir), "payload")
+    return out.select("c_custkey", "status", _part("c_acctbal", "double").alias("acctbal"), _steps().alias("steps"))
+
+
 # -- repair ----------------------------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,8 @@
-"""Contracts from Pydantic models. The library is optional: it is needed only to declare a model, never on executors."""
+"""Contracts from Pydantic models, and validation by the models themselves.
+
+The library is optional. A contract of a model needs it only where the model is declared; guard_of_model also runs the
+model on executors, which must be able to import its module.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,10 @@ import types
 import typing
 from typing import Any
 
-from ..contract import MISSING, Constraint, Contract, Field, Member
+from ..contract import MISSING, Config, Constraint, Contract, Field, Member, find_field
+from ..functions.values import type_name
+from ..operators.checks import MISSING_FIELD, Violation, check, first_per_key, merged
+from ..operators.guard import Guard
 
 PRIMITIVES = {str: "string", bytes: "bytes", int: "integer", float: "float", bool: "boolean", type(None): "null"}
 
@@ -101,6 +108,10 @@ def contract_of_model(model: Any) -> Contract:
     return Contract(tuple(fields), strict=model.model_config.get("extra") == "forbid", source=f"{model.__module__}:{model.__qualname__}")
 
 
+# Where an error's context holds the bound that it broke, first of all first.
+BOUNDS = ("ge", "le", "gt", "lt", "min_length", "max_length", "pattern", "expected")
+
+
 # Error types of the library and what they amount to here.
 ERRORS = {"missing": "missing_required_field", "extra_forbidden": "unexpected_field", "none_required": "null_not_allowed"}
 
@@ -111,10 +122,58 @@ def error_kind(error_type: str) -> str:
 
 def error_path(loc: tuple, contract: Contract) -> str:
     """The longest declared prefix of an error's place, else all of it."""
-    from ..contract import find_field
-
     for n in range(len(loc), 0, -1):
         path = ".".join(map(str, loc[:n]))
         if find_field(contract, path):
             return path
     return ".".join(map(str, loc))
+
+
+def violations_of_errors(errors: list[dict], contract: Contract) -> list[Violation]:
+    """A model's errors as violations: one for each place and kind, all of them errors."""
+    out = []
+    for error in errors:
+        path, kind = error_path(tuple(error.get("loc", ())), contract), error_kind(error.get("type", ""))
+        declared, context = find_field(contract, path), error.get("ctx") or {}
+        bound = next((f"{name}={context[name]!r}" for name in BOUNDS if name in context), None)
+        # what a missing field's error holds as its input is the object around it
+        received = None if kind == MISSING_FIELD else type_name(error.get("input"))
+        out.append(Violation(path, kind, "error", bound or (declared.type if declared else None), received))
+    return first_per_key(out)
+
+
+class ModelCheck:
+    """A checker for repair() and Guard: the model's own errors, then what the contract finds beyond them.
+
+    The model takes values that it can convert ("31.5" for a float); the contract does not.
+    """
+
+    def __init__(self, model: Any):
+        self.model = model
+
+    def errors(self, contract: Contract, payload: dict) -> list[Violation]:
+        try:
+            self.model.model_validate(payload)
+        except ValueError as error:  # the library's own error is one, and lists what is wrong
+            if not callable(getattr(error, "errors", None)):
+                raise
+            return violations_of_errors(error.errors(), contract)
+        return []
+
+    def __call__(self, contract: Contract, payload: dict) -> list[Violation]:
+        return merged(self.errors(contract, payload), check(contract, payload))
+
+
+def guard_of_model(model: Any, config: Config | None = None) -> Guard:
+    """Enforces a model: its own validators run as well as its contract."""
+    return Guard(contract_of_model(model), config, checker=ModelCheck(model))
+
+
+def wrap(model: Any, status: str, output: dict | None) -> Any:
+    """The model's instance of a payload that ended valid; None for others. A payload that the model refuses is a fault here."""
+    if status not in ("success", "already_valid"):
+        return None
+    try:
+        return model.model_validate(output)
+    except ValueError as error:
+        raise RuntimeError(f"{getattr(model, '__name__', model)} refuses a payload that was found valid: {error}") from error

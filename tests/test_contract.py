@@ -139,6 +139,7 @@ def test_merge_and_first_of_each_key():
     a = check(EVERY, {"s": "b", "i": -1})
     assert len(a) == 3 and len(first_per_key(a)) == 2
     assert merged(a[:1], a) == [a[0], a[2]]
+    assert first_per_key([a[0], a[2], a[0]]) == [a[0], a[2]]
 
 
 def test_typed_schema_as_contract():
@@ -241,3 +242,45 @@ def test_models_if_installed():
     assert [(f.path, f.type, f.required) for f in c.fields] == [("n", "integer", True), ("s", "string", True), ("inner", "object", False), ("u", "union", False), ("items", "array", False), ("temp", "float", True)]
     assert c.fields[0].limit("maximum") == 5 and c.fields[1].limit("enum_values") == ("a", "b") and c.fields[5].aliases == ("t",) and c.fields[4].default == []
     assert error_kind("int_parsing") == "type_mismatch" and error_kind("greater_than") == "value_constraint"
+
+
+def test_errors_of_a_model():
+    from pactline.sources.models import ModelCheck, violations_of_errors, wrap
+
+    c = parse_contract({"fields": [{"path": "n", "type": "integer"}, {"path": "u", "type": "array"}]})
+    errors = [
+        {"type": "missing", "loc": ("n",), "input": {"u": []}},
+        {"type": "string_type", "loc": ("u", "str"), "input": 7},
+        {"type": "list_type", "loc": ("u", "list[str]"), "input": 7},
+        {"type": "extra_forbidden", "loc": ("x", 0), "input": None},
+        {"type": "too_short", "loc": ("u", 0), "input": "a", "ctx": {"max_length": 9, "min_length": 2}},
+        {"type": "unheard_of", "loc": (), "ctx": None},
+    ]
+    got = [(v.path, v.kind, v.severity, v.expected, v.received) for v in violations_of_errors(errors, c)]
+    assert got == [
+        ("n", "missing_required_field", "error", "integer", None), ("u", "type_mismatch", "error", "array", "integer"), ("x.0", "unexpected_field", "error", None, "null"),
+        ("u", "value_constraint", "error", "min_length=2", "string"), ("", "value_constraint", "error", None, "null"),
+    ]
+
+    class Refused(ValueError):
+        def errors(self):
+            return errors[:1]
+
+    class Model:
+        fault = None
+
+        @classmethod
+        def model_validate(cls, payload):
+            if cls.fault:
+                raise cls.fault
+            return ("instance", payload)
+
+    assert [v.kind for v in ModelCheck(Model)(c, {"u": []})] == ["missing_required_field"] and wrap(Model, "success", {"n": 1}) == ("instance", {"n": 1})
+    assert wrap(Model, "partial", {}) is None
+    Model.fault = Refused()
+    assert ModelCheck(Model).errors(c, {}) == violations_of_errors(errors[:1], c)
+    with pytest.raises(RuntimeError):
+        wrap(Model, "already_valid", {})
+    Model.fault = ValueError("the model's own fault")
+    with pytest.raises(ValueError, match="own fault"):
+        ModelCheck(Model)(c, {})
