@@ -6,9 +6,10 @@ from .operators.checks import Violation
 from .operators.guard import Guard
 from .operators.repair import Attempt, Operation, Result, Strategy, repair
 from .operators.telemetry import Silent, Telemetry, log_lines
+from .sources.models import ModelCheck, guard_of_model
 
 __version__ = VERSION
 __all__ = [
-    "MISSING", "Attempt", "Config", "Constraint", "Contract", "Evidence", "Field", "Guard", "Member", "Operation", "Policy", "Result", "Silent", "Strategy", "Telemetry", "Violation",
-    "contract_of_schema", "find_field", "log_lines", "parse_contract", "repair",
+    "MISSING", "Attempt", "Config", "Constraint", "Contract", "Evidence", "Field", "Guard", "Member", "ModelCheck", "Operation", "Policy", "Result", "Silent", "Strategy", "Telemetry", "Violation",
+    "contract_of_schema", "find_field", "guard_of_model", "log_lines", "parse_contract", "repair",
 ]
