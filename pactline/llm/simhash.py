@@ -10,11 +10,14 @@ columns are ignored.
 
 keep_one, a stage on word shingles, takes five words and a Jaccard similarity of 0.8. Two such texts differ in some 5 of 64
 bits, which no radius of two reaches surely. So it takes several fingerprints of 32 bits a text, of three-word shingles as
-above, hashes each the same way, and compares the candidates' sets of five-word shingles (their 32-bit hashes).
+above, hashes each the same way, and compares the candidates' sets of five-word shingles (their 64-bit hashes). What
+fingerprints leave apart meets by its rarest shingles, so that no link is left out.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +29,8 @@ from .common import bitmap, components, cut, hot, marked, packed, partitions, sl
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Of keep_one: words of a shingle, least similarity, 32-bit fingerprints a text.
 WORDS, LEAST, BANDS = 5, 0.8, 4
+#: Of keep_one: texts that tell frequent shingles, most such shingles, texts of a shingle that meet in one block.
+SAMPLE, FREQUENT, BLOCK = 8192, 200_000, 256
 
 
 def fingerprint(text: str | None) -> int:
@@ -113,55 +118,150 @@ def wide_print(hashes: np.ndarray, bands: int) -> np.ndarray:
     return bits.ravel()[:bands]
 
 
-def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, bands: int) -> tuple[DataFrame, DataFrame]:
-    """(ids that name a group, ids that do not or are repeated). A text's id is the smallest of its words' sequence.
-
-    Two texts are candidates if in one of the bands their fingerprints differ in two bits at most: every band emits itself
-    and its 32 one-bit variants, and texts that meet at a variant are candidates with their neighbours there. Candidates
-    link if the Jaccard similarity of their sets of shingles is at least `least`.
-    """
-    spark = docs.sparkSession
+def prints_of(texts: DataFrame, bands: int) -> DataFrame:
+    """(id, hash, key, bands): digest of the words' sequence and SimHash bands of every row of (id, hash, body)."""
 
     def run(batches):
         for batch in slices(batches):
             keys, prints = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = words_of(text)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 prints.append(wide_print(shingles(words, SHINGLE), bands))
             flat = pa.array(np.concatenate([np.zeros(0, "<i4"), *prints]), pa.int32())
             at = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * bands)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["id", "hash", "key", "bands"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).where("id IS NOT NULL")
-    prints = stored(texts.mapInArrow(run, "id long, key binary, bands array<int>"), "prints")
-    nodes = cut(prints.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("of")).select(F.col("of.id").alias("node"), "of.bands"))
+    return texts.mapInArrow(run, "id long, hash long, key binary, bands array<int>")
+
+
+def met_in_bands(nodes: DataFrame) -> DataFrame:
+    """(a, b): of (node, bands), neighbours by node among those that meet at a variant of a band."""
     masks = ",".join(["0", *(str(1 << i) if i < 31 else "shiftleft(1, 31)" for i in range(32))])
     # small rows, many times as many below
-    met = nodes.repartition(partitions(spark), F.xxhash64("node")).select("node", F.posexplode("bands").alias("band", "value"))
+    met = nodes.repartition(partitions(nodes.sparkSession), F.xxhash64("node")).select("node", F.posexplode("bands").alias("band", "value"))
     met = met.select("node", F.expr(f"explode(transform(array({masks}), m -> (shiftleft(CAST(band AS BIGINT), 32) | ((value ^ m) & 4294967295L))))").alias("variant"))
     before = F.lag("node").over(Window.partitionBy("variant").orderBy("node"))
-    pairs = cut(met.select(F.col("node").alias("b"), before.alias("a")).where("a IS NOT NULL").distinct())
+    return met.select(F.col("node").alias("b"), before.alias("a")).where("a IS NOT NULL").distinct()
 
-    # texts of candidates only
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    near = marked(texts, bitmap(asked, "id"), "id").where("maybe").drop("maybe")
 
-    def sets(batches):
-        for batch in slices(batches):
-            got = [np.unique(shingles(words_of(t), size).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
-            at = pa.array(np.cumsum([0, *map(len, got)], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int32), *got])))], ["id", "hashes"])
+def shingle_sets(batches, size: int, pick=None):
+    """(node, hashes, size): the sorted set of a text's shingle hashes, or what pick leaves of it, and the set's size."""
+    for batch in slices(batches, 128):
+        got = [np.unique(shingles(words_of(t), size)) for t in batch.column(1).to_pylist()]
+        sizes = pa.array([len(x) for x in got], pa.int32())
+        got = [pick(x) for x in got] if pick else got
+        at = pa.array(np.cumsum([0, *map(len, got)], dtype=np.int32))
+        flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat), sizes], ["node", "hashes", "size"])
+
+
+SETS = "node long, hashes array<long>, size int"
 
-    # rows that repeat an id are one document: of several texts the first in order is compared
-    near = near.join(asked, "id").groupBy("id").agg(F.min("body").alias("body")).mapInArrow(sets, "id long, hashes array<int>")
-    both = pairs.join(near.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a").join(near.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
+
+def linked(pairs: DataFrame, bodies: DataFrame, size: int, least: float) -> DataFrame:
+    """Of the pairs (a, b) those whose sets of shingles have a Jaccard similarity of at least `least`."""
+    asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    near = marked(bodies, bitmap(asked, "node"), "node").where("maybe").drop("maybe").join(asked, "node")
+    near = near.select("node", "body").mapInArrow(lambda batches: shingle_sets(batches, size), SETS)
+    both = pairs.join(near.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(near.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    linked = both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either")).where((F.col("either") > 0) & (F.col("shared") >= F.lit(least) * F.col("either")))
-    joined = components(linked.select("a", "b"))
-    kept = nodes.join(joined, "node", "left").where("coalesce(root, node) = node").select(F.col("node").alias("id")).distinct()
+    told = both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either"))
+    return cut(told.where((F.col("either") > 0) & (F.col("shared") >= F.lit(least) * F.col("either"))).select("a", "b"))
+
+
+def frequent(bodies: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that stand in three or more of about SAMPLE texts, ascending, and their counts. They only order the
+    shingles: what is missing here costs time, no link."""
+    share = min(1 << 20, (SAMPLE << 20) // max(1, total) + 1)
+    some = bodies.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share).mapInArrow(lambda batches: shingle_sets(batches, size), SETS)
+    often = some.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    hashes, n = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def met_in_prefixes(bodies: DataFrame, total: int, size: int, least: float) -> DataFrame:
+    """(token, node, size): shingles that two texts or more have among their first, with those texts.
+
+    All texts order their n shingles alike, frequent ones last. Texts of similarity `least` have one at least in common among
+    the first n - ceil(least * n) + 1 of each, so every such pair meets.
+    """
+    names = bodies.sparkSession.sparkContext.broadcast(frequent(bodies, total, size))
+
+    def run(batches):
+        often, n = names.value
+
+        def first(hashes):
+            if len(often):
+                at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+                hashes = hashes[np.argsort(np.where(often[at] == hashes, n[at], 0), kind="stable")]
+            return hashes[: len(hashes) - math.ceil(least * len(hashes) - 1e-6) + 1]
+
+        yield from shingle_sets(batches, size, first)
+
+    tokens = bodies.mapInArrow(run, SETS).select(F.explode("hashes").alias("token"), "node", "size")
+    of_token = Window.partitionBy("token").orderBy("node")
+    met = tokens.select("*", F.lag("node").over(of_token).alias("before"), F.lead("node").over(of_token).alias("after"))
+    return stored(met.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "met")
+
+
+def pairs_apart(met: DataFrame, joined: DataFrame, least: float) -> DataFrame:
+    """(a, b, near): pairs of different components (joined: node, root) that meet and may have the similarity `least`.
+
+    Of two texts with s shingles in common among their first, all others in common lie beyond the first ones of either. What
+    can't reach the overlap that `least` asks for is left out, and no other pair. A token of many texts is dealt over a grid.
+    """
+    named = stored(met.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = named.join(mixed.where("lo < hi").drop("lo", "hi"), "token").withColumn("spot", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("spot").alias("row"), every.alias("col"))
+    right = rows.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), every.alias("row"), F.col("spot").alias("col"))
+    both = left.join(right, ["token", "row", "col"]).where("a < b AND ra != rb").where(F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb") - 1e-6)
+    counted = both.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("s"))
+    beyond = F.ceil(F.lit(least) * F.greatest("sa", "sb") - 1e-6) - 1
+    able = counted.where(F.col("s") + beyond >= F.lit(least / (1 + least)) * (F.col("sa") + F.col("sb")) - 1e-6)
+    return stored(able.select("a", "b", (F.col("s") / F.least("sa", "sb")).alias("near")), "apart")
+
+
+def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, bands: int) -> tuple[DataFrame, DataFrame]:
+    """(ids that name a group, ids that do not or are repeated). A text's id is the smallest of its words' sequence.
+
+    Two texts are candidates if in one of the bands their fingerprints differ in two bits at most: every band emits itself
+    and its 32 one-bit variants, and texts that meet at a variant are candidates with their neighbours there. Candidates
+    link if the Jaccard similarity of their sets of shingles is at least `least`. These links join most groups, but not all:
+    fingerprints of similar texts may differ in more bits, and a neighbour may be of another group. So pairs in different
+    components that share one of their first shingles are compared too, first each text's nearest, then all that are still apart.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).where("id IS NOT NULL")
+    texts = texts.select("id", F.xxhash64("body").alias("hash"), "body")
+    # rows that repeat an id are one document: the one whose text has the smallest hash
+    one = prints_of(texts, bands).groupBy("id").agg(F.min(F.struct("hash", "key", "bands")).alias("of"), F.count("*").alias("n"))
+    one = stored(one.select("id", "of.*", "n"), "prints")
+    nodes = cut(one.groupBy("key").agg(F.min(F.struct("id", "hash", "bands")).alias("of")).select(F.col("of.id").alias("node"), "of.hash", "of.bands"))
+
+    # texts of nodes; only those of repeated words or ids move
+    other = one.join(nodes.select(F.col("node").alias("id")), "id", "left_anti").select("id").union(one.where("n > 1").select("id"))
+    told = marked(texts, bitmap(other, "id"), "id")
+    moved = told.where("maybe").join(nodes.select(F.col("node").alias("id"), "hash"), ["id", "hash"]).groupBy("id").agg(F.min("body").alias("body"))
+    bodies = told.where("NOT maybe").select(F.col("id").alias("node"), "body").union(stored(moved, "moved"))
+
+    links = linked(cut(met_in_bands(nodes)), bodies, size, least)
+    met = met_in_prefixes(bodies, nodes.count(), size, least)
+    apart = pairs_apart(met, components(links), least)
+    nearest = apart.select("a", "b", "near").union(apart.select("b", "a", "near")).groupBy("a").agg(F.max(F.struct("near", "b")).alias("of"))
+    nearest = cut(nearest.select(F.least("a", "of.b").alias("a"), F.greatest("a", "of.b").alias("b")).distinct())
+    links = links.union(linked(nearest, bodies, size, least))
+    joined = components(links)
+    for side in ("a", "b"):
+        apart = apart.join(joined.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    apart = apart.where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    joined = components(links.union(linked(cut(apart), bodies, size, least)))
+
+    kept = nodes.join(joined, "node", "left").where("coalesce(root, node) = node").select(F.col("node").alias("id"))
     # ids whose rows are not the only one of a kept text
-    doubtful = prints.groupBy("id").agg(F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), "id", "left").where("n > 1 OR kept IS NULL").select("id")
+    doubtful = one.join(kept.withColumn("kept", F.lit(True)), "id", "left").where("n > 1 OR kept IS NULL").select("id")
     return kept, doubtful
 
 

@@ -98,6 +98,39 @@ def test_near_duplicates_of_five_words_against_brute_force(spark):
     assert simhash.keep_one(odd.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_near_duplicates_leave_no_link_out(spark, monkeypatch, block):
+    """Pairs barely at 0.8, short texts, texts mostly of frequent shingles, and a chain whose links' fingerprints differ much."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(32)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for n in [*(6, 8, 9, 13, 14, 24, 40) * 6, *[120] * 20]:
+        base = rng.choices(words, k=n)
+        cut = (n - 4) // 5  # 0.8 to the word where 5 divides n - 4
+        texts += [" ".join(x) for x in (base, base[cut:], base[: n - cut], base[cut + 1 :], base + rng.choices(words, k=max(1, (n - 4) // 4)))]
+    common = rng.choices(words, k=60)
+    texts += [" ".join([*common, *rng.choices(words, k=k % 9)]) for k in range(90)]
+    text = rng.choices(words, k=100)
+    for _ in range(30):  # each links to the next one only
+        texts.append(" ".join(text))
+        text = text[9:] + rng.choices(words, k=9)
+    rng.shuffle(texts)
+    told = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    edges = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(told[a] & told[b]) >= 4 * len(told[a] | told[b])]
+    root = roots(len(texts), edges)
+    rows = docs_of(spark, texts)
+    kept = {k for k, r in enumerate(root) if k == r}
+    assert 50 < len(kept) < len(texts) - 200
+    assert {r["doc_id"] for r in simhash.keep_one(rows).collect()} == kept
+    # of two texts of one id the one that stays is the one that is compared
+    two = spark.createDataFrame([(1, texts[0]), (2, texts[0] + " one"), (2, "a b c d e f g"), (3, "a b c d e f g")], "doc_id long, text string")
+    stays = two.where("doc_id = 2").orderBy(F.xxhash64("text")).first()["text"]
+    linked = 5 * len(told[0]) >= 4 * (len(told[0]) + 1) and stays == texts[0] + " one"
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(two).collect())
+    assert got == [(1, texts[0]), *([] if linked else [(2, stays)]), *([(3, "a b c d e f g")] if stays != "a b c d e f g" else [])]
+
+
 def test_simhash_null_ids_and_other_columns(spark):
     rows = spark.createDataFrame([(None, "a b c", 1, "x"), (4, "a b c", 2, "y"), (None, "q r s t", 3, "z"), (4, "a b c", 2, "y")], "doc_id long, text string, fp int, component_id string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_duplicates(rows).collect())
