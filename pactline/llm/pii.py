@@ -23,13 +23,14 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, each, slices
+from .common import cut, each, give_back, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT, BEFORE, SAMPLE, HASHED = 0.9, 48, 4000, 2048
@@ -407,8 +408,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
     weights = fit(find(docs, id_col, text_col))
 
     @F.arrow_udf("string")
-    def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else mask(t, weights) for t in each(texts)], pa.string())
+    def masked(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
+        for texts in parts:
+            yield pa.array([t if t is None else mask(t, weights) for t in each(texts)], pa.string())
 
     out = docs.withColumn(text_col, masked(F.col(text_col)))
     if count_col and count_col in docs.columns:

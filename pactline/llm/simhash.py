@@ -29,8 +29,9 @@ from .common import bitmap, components, cut, hot, marked, packed, partitions, sl
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Of keep_one: words of a shingle, least similarity, 32-bit fingerprints a text.
 WORDS, LEAST, BANDS = 5, 0.8, 4
-#: Of keep_one: texts that tell frequent shingles, most such shingles, texts of a shingle that meet in one block.
-SAMPLE, FREQUENT, BLOCK = 8192, 200_000, 256
+#: Of keep_one: one text of so many tells frequent shingles, so many texts at least; most such shingles, texts of a shingle
+#: that meet in one block.
+SHARE, SAMPLE, FREQUENT, BLOCK = 6, 8192, 200_000, 256
 
 
 def fingerprint(text: str | None) -> int:
@@ -136,13 +137,19 @@ def prints_of(texts: DataFrame, bands: int) -> DataFrame:
 
 
 def met_in_bands(nodes: DataFrame) -> DataFrame:
-    """(a, b): of (node, bands), neighbours by node among those that meet at a variant of a band."""
+    """(a, b): of (node, bands), neighbours by node among those that meet at a variant of a band, unless a quarter of all
+    their bits differ. These are first links only: what is left out here meets by its first shingles."""
     masks = ",".join(["0", *(str(1 << i) if i < 31 else "shiftleft(1, 31)" for i in range(32))])
     # small rows, many times as many below
     met = nodes.repartition(partitions(nodes.sparkSession), F.xxhash64("node")).select("node", F.posexplode("bands").alias("band", "value"))
     met = met.select("node", F.expr(f"explode(transform(array({masks}), m -> (shiftleft(CAST(band AS BIGINT), 32) | ((value ^ m) & 4294967295L))))").alias("variant"))
     before = F.lag("node").over(Window.partitionBy("variant").orderBy("node"))
-    return met.select(F.col("node").alias("b"), before.alias("a")).where("a IS NOT NULL").distinct()
+    pairs = met.select(F.col("node").alias("b"), before.alias("a")).where("a IS NOT NULL").distinct()
+    # unrelated texts that meet by chance in one band grow with the square of the texts, and differ in half of the other bands' bits
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("bands").alias(f"of_{side}")), side)
+    far = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.where(far <= 8 * F.size("of_a")).select("a", "b")
 
 
 def shingle_sets(batches, size: int, pick=None):
@@ -171,11 +178,17 @@ def linked(pairs: DataFrame, bodies: DataFrame, size: int, least: float) -> Data
 
 
 def frequent(bodies: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that stand in three or more of about SAMPLE texts, ascending, and their counts. They only order the
-    shingles: what is missing here costs time, no link."""
-    share = min(1 << 20, (SAMPLE << 20) // max(1, total) + 1)
-    some = bodies.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share).mapInArrow(lambda batches: shingle_sets(batches, size), SETS)
-    often = some.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    """Shingle hashes that stand in three or more texts of a sample, ascending, and their counts. They only order the
+    shingles: what is missing here costs time, no link. The sample grows with the texts: from one of fixed size a shingle
+    would need the more texts to be told frequent the more there are, and the pairs that meet at it grow with their square."""
+    few = min(1 << 20, (SAMPLE << 20) // max(1, total) + 1)
+    share = max((1 << 20) // SHARE, few)
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    some = bodies.where(spot < share).mapInArrow(lambda batches: shingle_sets(batches, size), SETS).select("node", F.explode("hashes").alias("h"))
+    # rare shingles come by their hash, so most first ones are of its lower half: the others of few texts only are counted
+    low = F.col("h") >= 0
+    counts = some.where(low | (spot < few)).groupBy("h").agg(F.count("*").alias("n")).where("n > 2").withColumn("n", F.when(low, F.col("n")).otherwise(F.col("n") * share / few).cast("long"))
+    often = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     hashes, n = often["h"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order]

@@ -131,6 +131,18 @@ def test_near_duplicates_leave_no_link_out(spark, monkeypatch, block):
     assert got == [(1, texts[0]), *([] if linked else [(2, stays)]), *([(3, "a b c d e f g")] if stays != "a b c d e f g" else [])]
 
 
+def test_frequent_shingles_of_many_texts_and_chance_meetings(spark, monkeypatch):
+    """The sample grows with the texts; texts that meet in one band only are no candidates."""
+    monkeypatch.setattr(simhash, "SAMPLE", 10)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(20)) + (f" {passage}" if k % 10 == 0 else "")) for k in range(600)]
+    hashes, n = simhash.frequent(spark.createDataFrame(rows, "node long, body string"), len(rows), 5)
+    known = {int(h) for h in simhash.shingles(simhash.words_of(passage), 5) if h < 1 << 63}
+    assert len(known) > 10 and known <= set(hashes.tolist()) and (n > 2).all()
+    bands = spark.createDataFrame([(1, [5, 0, 0, 0]), (2, [4, 1, 0, 3]), (3, [5, -1, -1, -1])], "node long, bands array<int>")
+    assert [tuple(r) for r in simhash.met_in_bands(bands).select("a", "b").collect()] == [(1, 2)]
+
+
 def test_simhash_null_ids_and_other_columns(spark):
     rows = spark.createDataFrame([(None, "a b c", 1, "x"), (4, "a b c", 2, "y"), (None, "q r s t", 3, "z"), (4, "a b c", 2, "y")], "doc_id long, text string, fp int, component_id string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_duplicates(rows).collect())
