@@ -195,7 +195,7 @@ def frequent(bodies: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.n
 
 
 def met_in_prefixes(bodies: DataFrame, total: int, size: int, least: float) -> DataFrame:
-    """(token, node, size): shingles that two texts or more have among their first, with those texts.
+    """(token, node, size, pos): shingles that two texts or more have among their first, with those texts and the places there.
 
     All texts order their n shingles alike, frequent ones last. Texts of similarity `least` have one at least in common among
     the first n - ceil(least * n) + 1 of each, so every such pair meets.
@@ -213,7 +213,7 @@ def met_in_prefixes(bodies: DataFrame, total: int, size: int, least: float) -> D
 
         yield from shingle_sets(batches, size, first)
 
-    tokens = bodies.mapInArrow(run, SETS).select(F.explode("hashes").alias("token"), "node", "size")
+    tokens = bodies.mapInArrow(run, SETS).select(F.posexplode("hashes").alias("pos", "token"), "node", "size").select("token", "node", "size", "pos")
     of_token = Window.partitionBy("token").orderBy("node")
     met = tokens.select("*", F.lag("node").over(of_token).alias("before"), F.lead("node").over(of_token).alias("after"))
     return stored(met.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "met")
@@ -222,20 +222,28 @@ def met_in_prefixes(bodies: DataFrame, total: int, size: int, least: float) -> D
 def pairs_apart(met: DataFrame, joined: DataFrame, least: float) -> DataFrame:
     """(a, b, near): pairs of different components (joined: node, root) that meet and may have the similarity `least`.
 
-    Of two texts with s shingles in common among their first, all others in common lie beyond the first ones of either. What
-    can't reach the overlap that `least` asks for is left out, and no other pair. A token of many texts is dealt over a grid.
+    All that two texts have in common comes from their first common shingle on, so it has at most as many as either has from there.
+    Where that is too few for the overlap that `least` asks for, they don't meet; of the smaller text it is too few beyond some
+    n - ceil(n * 2 least / (1 + least)) + 1 shingles. With s in common among their first, all others in common lie beyond the
+    first ones of either. What can't reach the overlap is left out, and no other pair. A token of many texts is dealt over a grid.
     """
     named = stored(met.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     rows = named.join(mixed.where("lo < hi").drop("lo", "hi"), "token").withColumn("spot", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("spot").alias("row"), every.alias("col"))
-    right = rows.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), every.alias("row"), F.col("spot").alias("col"))
-    both = left.join(right, ["token", "row", "col"]).where("a < b AND ra != rb").where(F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb") - 1e-6)
-    counted = both.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("s"))
+    early = rows.where(F.col("size") - F.col("pos") >= F.lit(2 * least / (1 + least)) * F.col("size") - 1e-6)
+    left = early.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("spot").alias("row"), every.alias("col"))
+    right = rows.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("pos").alias("pb"), every.alias("row"), F.col("spot").alias("col"))
+    overlap = F.lit(least / (1 + least)) * (F.col("sa") + F.col("sb")) - 1e-6
+    both = left.join(right, ["token", "row", "col"]).where("(sa < sb OR sa = sb AND a < b) AND ra != rb").where(F.col("sa") >= F.lit(least) * F.col("sb") - 1e-6)
+    pairs = both.where(F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= overlap).select("a", "b", "sa", "sb").distinct()
+    firsts = named.groupBy("node").agg(F.collect_list("token").alias("firsts"))
+    for side in ("a", "b"):
+        pairs = pairs.join(firsts.select(F.col("node").alias(side), F.col("firsts").alias(f"of_{side}")), side)
+    counted = pairs.select("a", "b", "sa", "sb", F.size(F.array_intersect("of_a", "of_b")).alias("s"))
     beyond = F.ceil(F.lit(least) * F.greatest("sa", "sb") - 1e-6) - 1
-    able = counted.where(F.col("s") + beyond >= F.lit(least / (1 + least)) * (F.col("sa") + F.col("sb")) - 1e-6)
-    return stored(able.select("a", "b", (F.col("s") / F.least("sa", "sb")).alias("near")), "apart")
+    able = counted.where(F.col("s") + beyond >= overlap)
+    return stored(able.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("s") / F.least("sa", "sb")).alias("near")), "apart")
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, bands: int) -> tuple[DataFrame, DataFrame]:
