@@ -20,6 +20,7 @@ from .plans import report
 from .sources import cases as case_files
 from .sources import history
 from .sources.models import contract_of_model, guard_of_model
+from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -34,7 +35,7 @@ def _register(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet")
 
 
 def _f(path: str, kind: str, **more) -> dict:
