@@ -17,7 +17,7 @@ def one_row_group(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["multi_step_repair", "wrap_in_list", "taint_hold"])
+@pytest.mark.parametrize("name", ["multi_step_repair", "wrap_in_list", "taint_hold", "typed_rows"])
 def test_one_row_group_is_not_one_task(spark, one_row_group, name):
     counts = [r["count"] for r in queries()[name](spark, one_row_group).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(counts) == ROWS and max(counts) <= 1.5 * ROWS / spark.sparkContext.defaultParallelism
