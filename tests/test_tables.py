@@ -1,8 +1,10 @@
 """Tables of few row groups: every core gets its share, and no row is lost."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pactline.operators.guard import each_once
 from pactline.queries import queries
 from pactline.sources.tables import parts_for, read_table
 
@@ -34,3 +36,17 @@ def test_parts_only_where_dealing_pays():
     assert parts_for([15_000], 8) == 3 and parts_for([900_000], 8) == 32
     assert parts_for([1_000_000] * 36, 12) is None  # enough row groups as they are
     assert parts_for([900_000, 10, 10, 10, 10, 10, 10, 10], 8) == 32  # many partitions, one full
+
+
+def test_repeated_texts_are_worked_out_once():
+    seen = []
+
+    def of(text):
+        seen.append(text)
+        return [text.upper()]
+
+    texts = ["b", None, "a", "b", "", None, "a"]
+    got = each_once(pa.array(texts, pa.string()), of, pa.list_(pa.string()))
+    assert got.to_pylist() == [None if t is None else [t.upper()] for t in texts] and seen == ["b", "a", ""]
+    for rest in ([], [None, None], ["y", "x"]):
+        assert each_once(pa.array(rest, pa.string()), of, pa.list_(pa.string())).to_pylist() == [None if t is None else [t.upper()] for t in rest]
