@@ -4,7 +4,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pactline.operators.guard import each_once
+from pactline.operators.guard import Guard, each_once
+from pactline.operators.repair import type_coercion
 from pactline.queries import queries
 from pactline.sources.tables import parts_for, read_table
 
@@ -50,3 +51,17 @@ def test_repeated_texts_are_worked_out_once():
     assert got.to_pylist() == [None if t is None else [t.upper()] for t in texts] and seen == ["b", "a", ""]
     for rest in ([], [None, None], ["y", "x"]):
         assert each_once(pa.array(rest, pa.string()), of, pa.list_(pa.string())).to_pylist() == [None if t is None else [t.upper()] for t in rest]
+
+
+def test_repair_sees_each_text_of_a_batch_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(violations, contract, data):
+        calls.add(1)
+        return type_coercion(violations, contract, data)
+
+    rows = spark.range(3_000, numPartitions=1).select("id", F.format_string('{"v": "{\\"k\\": %d}"}', F.col("id") % 3).alias("payload"))
+    out = Guard({"fields": [{"path": "v", "type": "object"}]}, strategies=(("type_coercion", counted),)).repair(rows, "payload")
+    got = out.select("id", "status", "repaired").collect()
+    assert len(got) == 3_000 and all(r["status"] == "success" and r["repaired"] == f'{{"v": {{"k": {r["id"] % 3}}}}}' for r in got)
+    assert calls.value == 3
