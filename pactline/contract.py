@@ -95,6 +95,7 @@ class Contract:
     def __post_init__(self):
         object.__setattr__(self, "fields", tuple(self.fields))
         object.__setattr__(self, "_names", {f.name: f for f in self.fields})
+        object.__setattr__(self, "_found", {})
         if not self.contract_id:
             told = ";".join([f"strict={int(self.strict)}", *(f"{f.path}:{f.type}:{int(f.required)}" for f in sorted(self.fields, key=lambda f: f.path))])
             object.__setattr__(self, "contract_id", hashlib.sha256(told.encode()).hexdigest()[:16])
@@ -131,13 +132,17 @@ class Config:
 
 
 def find_field(contract: Contract, path: str) -> Field | None:
-    """The field that a dotted path leads to, by local names."""
+    """The field that a dotted path leads to, by local names; declared paths are looked up once."""
+    known = contract._found.get(path)
+    if known is not None:
+        return known
     found, level = None, contract
     for name in path.split("."):
         found = next((f for f in level.fields if f.path == name), None) if level else None
         if found is None:
             return None
         level = found.nested
+    contract._found[path] = found
     return found
 
 

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pactline.contract import find_field, parse_contract
 from pactline.operators.guard import Guard, each_once
 from pactline.operators.repair import type_coercion
 from pactline.queries import queries
@@ -65,3 +66,11 @@ def test_repair_sees_each_text_of_a_batch_once(spark):
     got = out.select("id", "status", "repaired").collect()
     assert len(got) == 3_000 and all(r["status"] == "success" and r["repaired"] == f'{{"v": {{"k": {r["id"] % 3}}}}}' for r in got)
     assert calls.value == 3
+
+
+def test_only_declared_paths_are_remembered():
+    contract = parse_contract({"fields": [{"path": "a", "type": "object", "nested": {"fields": [{"path": "b", "type": "integer"}]}}]})
+    for _ in range(2):
+        assert find_field(contract, "a.b").type == "integer" and find_field(contract, "a.c") is None and find_field(contract, "x") is None
+    assert set(contract._found) == {"a.b"}
+    assert contract == parse_contract({"fields": [{"path": "a", "type": "object", "nested": {"fields": [{"path": "b", "type": "integer"}]}}]})
